@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing
+from . import exact_dedup, mixing, simhash
 
 QUERIES = {
+    "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
 }
