@@ -1,13 +1,55 @@
-"""The corpus pipeline: STAGES over documents, each written and read again by ``run``."""
+"""The corpus pipeline: STAGES over documents, each written and read again.
+
+Every stage takes (spark, docs, sf_dir) and works on all that the stage before it kept.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from quillmere.llm import bpe, mixing
 from quillmere.llm.exact_dedup import exact_dedup
-from quillmere.llm.shared import written
+from quillmere.llm.quality import quality_filter
+from quillmere.llm.shared import free_name, quoted, written
+from quillmere.llm.simhash import near_dedup
+
+
+def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the classifier trained on ``labels`` doesn't reject."""
+    return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
+def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document for each distinct text."""
+    return exact_dedup(docs)
+
+
+def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies."""
+    return near_dedup(docs)
+
+
+def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents in training order under the production schedule; a source's documents repeat or end as its weights ask."""
+    tokens = free_name(docs.columns, "tokens")
+    mixed = mixing.mix_sources(docs.withColumn(tokens, mixing.text_tokens()), mixing.PRODUCTION_SCHEDULES, mixing.PRODUCTION_DEFAULT, tokens)
+    return mixed.select(*[F.col(quoted(c)) for c in docs.columns])
+
+
+def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of the text."""
+    return bpe.encode(docs)
+
+
+STAGES = [
+    ("quality classifier", quality_stage),
+    ("exact dedup", exact_stage),
+    ("SimHash near-dedup", near_stage),
+    ("mixing to target weights", mixing_stage),
+    ("byte-level BPE", bpe_stage),
+]
 
-STAGES: list = [("exact dedup", lambda spark, docs, sf_dir: exact_dedup(docs))]
+#: The classifier, the signatures and the tokenizer can't be expressed in SQL.
 ORACLE_SQL = None
 
 

@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, simhash
+from . import bpe, exact_dedup, licenses, line_dedup, mixing, quality, simhash
 
 QUERIES = {
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_mix_sources": mixing.op3_mix_sources,
+    "op5_byte_bpe": bpe.op5_byte_bpe,
     "op7_exact_dedup": exact_dedup.op7_exact_dedup,
+    "op8_quality_classifier": quality.op8_quality_classifier,
+    "op9_line_dedup": line_dedup.op9_line_dedup,
+    "op10_license_scan": licenses.op10_license_scan,
 }
 SQL = {
     "op3_mix_sources": mixing.OP3_SQL,
     "op7_exact_dedup": exact_dedup.OP7_SQL,
+    "op9_line_dedup": line_dedup.OP9_SQL,
 }
