@@ -15,8 +15,10 @@ K = 4
 #: Diagonals at most so far apart (and half the template's words) belong to one passage with words put in or left out.
 DRIFT = 8
 MIN_SIMILARITY = 0.8
-#: A table of spans up to so many bytes is sent to all tasks for verification; a larger one is joined by a shuffle.
+#: A table (template k-grams, spans to verify) up to so many bytes is sent to all tasks; a larger one is joined by a shuffle.
 BROADCAST_BYTES = 32 << 20
+#: Bytes of a template k-gram when broadcast, at most about so many.
+GRAM_BYTES = 128
 
 TEMPLATES: Mapping[str, str] = {
     "apache-2.0-notice": "Licensed under the Apache License, Version 2.0",
@@ -93,8 +95,7 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     at most ``drift`` apart, merge; the merged votes give a span of words, at each end
     lengthened by the template's words that didn't vote.  The span is verified against
     the text: the longest common subsequence of words over the longer length must reach
-    ``least``.  Templates are few and of fixed size; Spark broadcasts their k-grams by its own
-    threshold.
+    ``least``.  Template k-grams and spans are broadcast up to 32 MB, beyond it both joins shuffle.
 
     Defined results: rows with a null id or text, and texts with fewer than k words, have no
     spans; a template of fewer than k words raises ValueError; a passage that matches two templates gives
@@ -106,7 +107,10 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if any(len(w) < k for w in words.values()):
         raise ValueError(f"a template has fewer than {k} words")
     docs = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).filter("id IS NOT NULL AND text IS NOT NULL")
-    known = spark.createDataFrame([(int(g), n, p, len(w)) for n, w in words.items() for p, g in enumerate(grams(w, k).view(np.int64))], "gram long, template string, tpos int, twords int")
+    known_rows = [(int(g), n, p, len(w)) for n, w in words.items() for p, g in enumerate(grams(w, k).view(np.int64))]
+    known = spark.createDataFrame(known_rows, "gram long, template string, tpos int, twords int")
+    if len(known_rows) * GRAM_BYTES <= BROADCAST_BYTES:
+        known = F.broadcast(known)
     rolling = docs.mapInArrow(_hashes(k), "id long, grams array<long>").select("id", F.posexplode("grams").alias("pos", "gram"))
     votes = rolling.join(known, "gram").groupBy("id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min("tpos").alias("t0"), F.max("tpos").alias("t1"), F.max("twords").alias("twords"))
     line = Window.partitionBy("id", "template").orderBy("diagonal")

@@ -69,17 +69,19 @@ def mix_sources(
     src, ident = F.col(quoted(source_col)), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))
     tok = F.greatest(F.coalesce(F.col(quoted(tokens_col)).cast("long"), F.lit(1)), F.lit(1))
     order = F.md5(F.concat(F.lit(seed), F.lit(":"), ident))
-    base = df.select(*[F.col(quoted(c)) for c in keep], tok.alias("__qm_tok"), order.alias("__qm_key"), F.substring(order, 1, BUCKETS_HEX).alias("__qm_bucket"))
+    # a key that is never null, so that window and join need one partitioning
+    named = F.coalesce(F.concat(F.lit("="), src.cast("string")), F.lit(""))
+    base = df.select(*[F.col(quoted(c)) for c in keep], tok.alias("__qm_tok"), named.alias("__qm_src"), order.alias("__qm_key"), F.substring(order, 1, BUCKETS_HEX).alias("__qm_bucket"))
 
     # small: one row for each (source, bucket), from a narrow scan
-    totals = base.groupBy(src.alias("__qm_s"), F.col("__qm_bucket").alias("__qm_b")).agg(F.sum("__qm_tok").alias("__qm_bt"))
+    totals = base.groupBy(F.col("__qm_src").alias("__qm_s"), F.col("__qm_bucket").alias("__qm_b")).agg(F.sum("__qm_tok").alias("__qm_bt"))
     before = Window.partitionBy("__qm_s").orderBy("__qm_b").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.withColumn("__qm_before", F.coalesce(F.sum("__qm_bt").over(before), F.lit(0))).withColumn("__qm_supply", F.sum("__qm_bt").over(Window.partitionBy("__qm_s")))
 
     raw = F.array(*[F.lit(_at(default, t)) for t in knots])
     if schedules:
-        listed = df.sparkSession.createDataFrame([(s, [_at(w, t) for t in knots]) for s, w in schedules.items()], "__qm_l string, __qm_w array<double>")
-        per = totals.groupBy("__qm_s").agg(F.max("__qm_supply").alias("__qm_c")).join(listed, F.col("__qm_s").cast("string") == F.col("__qm_l"), "left").select("__qm_s", "__qm_c", F.coalesce("__qm_w", raw).alias("__qm_w"))
+        listed = df.sparkSession.createDataFrame([(f"={s}", [_at(w, t) for t in knots]) for s, w in schedules.items()], "__qm_l string, __qm_w array<double>")
+        per = totals.groupBy("__qm_s").agg(F.max("__qm_supply").alias("__qm_c")).join(listed, F.col("__qm_s") == F.col("__qm_l"), "left").select("__qm_s", "__qm_c", F.coalesce("__qm_w", raw).alias("__qm_w"))
     else:
         per = totals.groupBy("__qm_s").agg(F.max("__qm_supply").alias("__qm_c")).withColumn("__qm_w", raw)
     whole = per.agg(F.sum("__qm_c").alias("__qm_total"), *[F.sum(F.col("__qm_w")[k]).alias(f"__qm_sum{k}") for k in range(len(knots))])
@@ -92,9 +94,9 @@ def mix_sources(
         areas.append(area)
     per = per.withColumn("__qm_i", F.array(*areas))
 
-    buckets = totals.join(per.withColumnRenamed("__qm_s", "__qm_s2"), F.col("__qm_s").eqNullSafe(F.col("__qm_s2"))).drop("__qm_s2")
-    inside = Window.partitionBy(src, "__qm_bucket").orderBy("__qm_key", F.col(quoted(id_col)), "__qm_tok").rowsBetween(Window.unboundedPreceding, -1)
-    placed = base.withColumn("__qm_in", F.coalesce(F.sum("__qm_tok").over(inside), F.lit(0))).join(buckets, src.eqNullSafe(F.col("__qm_s")) & (F.col("__qm_bucket") == F.col("__qm_b")))
+    buckets = totals.join(per, "__qm_s")
+    inside = Window.partitionBy("__qm_src", "__qm_bucket").orderBy("__qm_key", F.col(quoted(id_col)), "__qm_tok").rowsBetween(Window.unboundedPreceding, -1)
+    placed = base.withColumn("__qm_in", F.coalesce(F.sum("__qm_tok").over(inside), F.lit(0))).join(buckets, (F.col("__qm_src") == F.col("__qm_s")) & (F.col("__qm_bucket") == F.col("__qm_b")))
     start = F.col("__qm_before") + F.col("__qm_in")
     demand = F.col("__qm_budget") * F.col("__qm_i")[len(knots) - 1]
     copies = F.ceil((demand - start) / F.col("__qm_c")).cast("int")
