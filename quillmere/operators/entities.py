@@ -9,6 +9,7 @@ from dataclasses import dataclass, field
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql.types import StringType
 
 MATCHES = "chunk_id string, entity_id string, name string, display_name string, entity_type string, frequency int, positions array<int>, spans array<struct<start:int,stop:int>>, chunk_length int"
 
@@ -229,7 +230,7 @@ def canonical_key(name: str) -> str:
     return normalize_entity(name).lower()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def normalize_entity_udf(s: pd.Series) -> pd.Series:
     return s.map(normalize_entity, na_action="ignore")
 
