@@ -99,7 +99,7 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     Defined results: rows with a null id or text, and texts with fewer than k words, have no
     spans; a template of fewer than k words raises ValueError; a passage that matches two templates gives
-    a row for each; rows that repeat an id and text give their spans once; an empty table or no templates give
+    a row for each; rows that repeat an id and text give their spans once, with the votes of one; an empty table or no templates give
     no rows; extra columns are ignored.
     """
     spark = df.sparkSession
@@ -112,7 +112,7 @@ def license_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     if len(known_rows) * GRAM_BYTES <= BROADCAST_BYTES:
         known = F.broadcast(known)
     rolling = docs.mapInArrow(_hashes(k), "id long, grams array<long>").select("id", F.posexplode("grams").alias("pos", "gram"))
-    votes = rolling.join(known, "gram").groupBy("id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.count(F.lit(1)).alias("votes"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min("tpos").alias("t0"), F.max("tpos").alias("t1"), F.max("twords").alias("twords"))
+    votes = rolling.join(known, "gram").groupBy("id", "template", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.size(F.collect_set("pos")).cast("long").alias("votes"), F.min("pos").alias("p0"), F.max("pos").alias("p1"), F.min("tpos").alias("t0"), F.max("tpos").alias("t1"), F.max("twords").alias("twords"))
     line = Window.partitionBy("id", "template").orderBy("diagonal")
     near = F.least(F.lit(drift), F.floor(F.col("twords") / 2))  # so that a passage that repeats at once isn't merged with itself
     apart = F.when(F.col("diagonal") - F.lag("diagonal").over(line) <= near, 0).otherwise(1)
