@@ -39,10 +39,8 @@ def cooccurrence(pairs: DataFrame, n_chunks: int | DataFrame, form: str = "pmi",
 
 def distances(scores: DataFrame) -> DataFrame:
     """(a, b, d): one minus the min-max scaled score; 0 for all where the scores are equal."""
-    lo, hi = F.min("score").over(Window.partitionBy()), F.max("score").over(Window.partitionBy())
     bounds = scores.agg(F.min("score").alias("lo"), F.max("score").alias("hi"))
     sim = F.when(F.col("hi") > F.col("lo"), (F.col("score") - F.col("lo")) / (F.col("hi") - F.col("lo"))).otherwise(1.0)
-    del lo, hi
     return scores.crossJoin(F.broadcast(bounds)).select("a", "b", F.greatest(F.lit(0.0), 1 - sim).alias("d"))  # bounds is one row
 
 

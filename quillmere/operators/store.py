@@ -24,6 +24,7 @@ SCHEMAS = {
     "chunk_entities": "chunk_id string, entity_id string, frequency int, positions array<int>, score double, chunk_length int, namespace string",
     "entity_aliases": "alias string, entity_id string, namespace string, source string",
     "svo_triples": "subject_id string, verb string, object_id string, confidence double, source_chunk_id string, description string, namespace string",
+    "entity_clusters": "entity_id string, cluster_id string",
     "chunk_clusters": "chunk_id string, cluster_id string, namespace string",
     "context_graph_edges": "source string, target string, weight double, svo double, cooccur double, cluster double, namespace string",
     "chunk_communities": "chunk_id string, level int, community_id string",
@@ -47,7 +48,11 @@ class Snapshots:
         fs, p = self._fs(f"{self.root}/{table}/_current.json")
         if not fs.exists(p):
             return {"version": 0, "current": None, "pending": None}
-        return json.loads("\n".join(r[0] for r in self.spark.read.text(str(p)).collect()))
+        stream = fs.open(p)
+        try:
+            return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
 
     def _point(self, table: str, state: dict) -> None:
         """Written beside and renamed over the old pointer."""
@@ -56,9 +61,11 @@ class Snapshots:
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
         _, old = self._fs(f"{self.root}/{table}/_current.json")
-        fs.delete(old, False)
-        if not fs.rename(new, old):
-            raise OSError(f"can't move the pointer of {table}")
+        sc = self.spark.sparkContext
+        hadoop, rename = sc._jvm.org.apache.hadoop.fs, getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
+        how = sc._gateway.new_array(rename, 1)
+        how[0] = rename.OVERWRITE
+        hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(new, old, how)
 
     def read(self, table: str) -> DataFrame:
         """The current snapshot; an empty table of the known schema before the first."""

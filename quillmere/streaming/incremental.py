@@ -46,7 +46,8 @@ def index_stream(stream: DataFrame, snapshots: store.Snapshots, checkpoint: str,
 
 def text_files(spark: SparkSession, folder: str) -> DataFrame:
     """Stream of (document_name, content), a document a file."""
-    raw = spark.readStream.format("binaryFile").option("recursiveFileLookup", "true").load(folder)
+    schema = "path string, modificationTime timestamp, length long, content binary"
+    raw = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", "true").load(folder)
     return raw.select(F.col("path").alias("document_name"), F.decode("content", "UTF-8").alias("content"))
 
 
@@ -55,5 +56,5 @@ def event_windows(events: DataFrame, width: str = "1 hour", late: str = "10 minu
 
     An extension: events later than the watermark are dropped.
     """
-    w = events.withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
+    w = events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late).groupBy(F.window("ts", width), "event_type").agg(F.count(F.lit(1)).alias("n"), F.sum("value").alias("total"))
     return w.select(F.col("window.start").alias("window_start"), "event_type", "n", "total")
