@@ -14,13 +14,10 @@ EXTENSIONS = {
 
 _OFFICE, _OPEN = "application/vnd.openxmlformats-officedocument.", "application/vnd.oasis.opendocument."
 MIMES = {
-    "text/plain": "text", "text/markdown": "markdown", "text/html": "html", "text/csv": "csv", "text/xml": "xml", "text/yaml": "yaml",
-    "application/xml": "xml", "application/json": "json", "application/x-ndjson": "jsonl", "application/x-yaml": "yaml",
-    "application/pdf": "pdf", "message/rfc822": "email", _OFFICE + "wordprocessingml.document": "docx",
+    "message/rfc822": "email", "application/x-ndjson": "jsonl", _OFFICE + "wordprocessingml.document": "docx",
     _OFFICE + "spreadsheetml.sheet": "xlsx", _OFFICE + "presentationml.presentation": "pptx",
     _OPEN + "text": "odt", _OPEN + "spreadsheet": "ods", _OPEN + "presentation": "odp",
-    "video/x-matroska": "audio", "video/mp4": "audio", "video/webm": "audio",
-} | {f"image/{k}": "image" for k in ("svg+xml", "gif", "bmp", "webp", "tiff", "jpeg", "png")} | {f"audio/{k}": "audio" for k in ("webm", "flac", "ogg", "x-wav", "wav", "mp4", "mpeg")}
+} | {f"text/{k}": "text" if k == "plain" else k for k in "plain markdown html csv xml yaml".split()} | {f"application/{k}": k.removeprefix("x-") for k in "xml json x-yaml pdf".split()} | {f"video/{k}": "audio" for k in "mp4 webm x-matroska".split()} | {f"image/{k}": "image" for k in ("svg+xml", "gif", "bmp", "webp", "tiff", "jpeg", "png")} | {f"audio/{k}": "audio" for k in ("webm", "flac", "ogg", "x-wav", "wav", "mp4", "mpeg")}
 #: Fragments of a MIME type that still tell the kind, in the order of the tests.
 MIME_PARTS = (("pdf", "pdf"), ("html", "html"), ("markdown", "markdown"), ("wordprocessingml", "docx"), ("spreadsheetml", "xlsx"), ("presentationml", "pptx"))
 SHORT_NAMES = set(EXTENSIONS.values()) | {"auto", "eml"}

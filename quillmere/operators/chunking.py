@@ -319,7 +319,8 @@ class Chunker:
         n = len(names)
         cells = cells_of(piece)[n if first else 0 :]
         full = [cells[i : i + n] for i in range(0, len(cells) - n + 1, n)]
-        return "\n".join(" | ".join(f"{h.lower()}: {v}" for h, v in zip(names, r)) for r in full)
+        low = [h.lower() for h in names]
+        return "\n".join(" | ".join(map(": ".join, zip(low, r))) for r in full)
 
     def overlapped(self) -> list[Piece]:
         """Each chunk after the end of the one before it, which already has its own overlap."""
@@ -365,7 +366,7 @@ def _title_after(text: str, at: int) -> tuple[str, int]:
         at = m.end()
     while at < len(text) and text[at] == " ":
         at += 1
-    return " ".join(words).strip().rstrip(".,;:–—-"), at
+    return " ".join(words).strip(" ").rstrip("-–—:;,."), at
 
 
 def promote_levels(text: str, levels: Sequence[tuple[str, int]], toc_gap: int = 300, strip_toc: bool = True) -> str:
@@ -425,7 +426,7 @@ def promote_phrases(text: str, words: int, chars: int) -> str:
 def promote_headers(text: str, o: Options, index: bool = False, isolated: bool = False) -> str:
     """Markdown headings for flat text: structural markers, then questions, then short phrases."""
     if isolated:
-        text = re.sub(r"(?<!\w)[b-hj-z](?!\w)", "", text)
+        text = re.sub(r"\b[b-hj-z]\b", "", text)
     text = re.sub(r"[ \t]+", " ", text).strip()
     if o.levels:
         text = promote_levels(text, o.levels, o.toc_gap)

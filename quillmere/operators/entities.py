@@ -39,9 +39,13 @@ def read_vocabulary(text: str, is_json: bool) -> list[Entity]:
     return out
 
 
+def humps(before: str) -> re.Pattern:
+    """Where a camel-case name is cut: before a capital after one of ``before``, and before the last capital of a run."""
+    return re.compile("|".join(f"(?<=[{a}])(?={b})" for a, b in ((before, "[A-Z]"), ("A-Z", "[A-Z][a-z]"))))
+
+
 def schema_term(term: str, singular: bool = False) -> str:
-    s = re.sub("([a-z])([A-Z])", r"\1 \2", term)
-    s = " ".join(re.sub("([A-Z]+)([A-Z][a-z])", r"\1 \2", s).translate(str.maketrans("_-", "  ")).split()).lower()
+    s = " ".join(humps("a-z").sub(" ", term).translate(str.maketrans("_-", "  ")).split()).lower()
     return s[:-1] if singular and s.endswith("s") else s
 
 
@@ -194,6 +198,7 @@ def ner_pipeline(chunks: DataFrame, schema: Matcher | None = None, data: Matcher
 # normal forms of free entity names
 
 INVARIANT = frozenset("agenda criteria data insignia media metadata stamina trivia".split())
+HUMP = humps("a-z0-9")
 _SAME = re.compile(r"(?:ss|us|is|news|series|species)$", re.I)
 
 
@@ -219,7 +224,7 @@ def normalize_entity(name: str, keep: frozenset[str] = INVARIANT) -> str:
     dotted = lambda w: re.fullmatch(r"(?:[A-Z0-9]\.){2,}[A-Z0-9]?\.?", w if w.endswith(".") else w + ".")
     s = re.sub(r"\s+", " ", " ".join(w.replace(".", "") if dotted(w) else w for w in s.split(" ")))
     for joiner in (" ", "_", ""):
-        words = s.split(joiner) if joiner else re.split(r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", s)
+        words = s.split(joiner) if joiner else HUMP.split(s)
         words = [w for w in words if w]
         if len(words) > 1 or joiner == "":
             return joiner.join(words[:-1] + [singular(words[-1], keep)]) if words else ""
@@ -238,7 +243,7 @@ def normalize_entity_udf(s: pd.Series) -> pd.Series:
 # associations
 
 
-def score_associations(matches: DataFrame, n_chunks, weights: tuple[float, float, float] = (0.4, 0.3, 0.3)) -> DataFrame:
+def score_associations(matches: DataFrame, n_chunks, weights: Sequence[float] = (0.4, 0.3, 0.3)) -> DataFrame:
     """Matches with ``score``: weighted log frequency, closeness to the chunk's start, and rarity of the entity.
 
     ``n_chunks`` (a number or a one-row column frame ``n``) counts all chunks; document

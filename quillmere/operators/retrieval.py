@@ -15,7 +15,7 @@ from ..functions.text import cosine, est_tokens
 
 K1, B = 1.2, 0.75
 RRF_K = 60
-PRIORITY = {"seed": 1.0, "structural": 0.9, "entity_adjacent": 0.7, "context_graph_expansion": 0.6, "cluster_adjacent": 0.5}
+PRIORITY = dict(seed=1.0, structural=0.9, entity_adjacent=0.7, context_graph_expansion=0.6, cluster_adjacent=0.5)
 STAGES = ("seed", "structural", "entity_adjacent", "cluster_adjacent", "entity_embedding")
 
 

@@ -12,7 +12,7 @@ _COMMENT = re.compile(r"^[/*\s]+|[\s]+$")
 _NOT_NAMES = frozenset("assert catch else finally for if new return super switch synchronized this throw try while".split())
 _TS_IMPORT = re.compile(r"import\s")
 _TS_TYPE = re.compile(r"(?:export\s+)?(?:default\s+)?(?:(abstract\s+)?class|interface)\s+(\w+)")
-_TS_CALL = re.compile(r"(?:export\s+)?(?:(?:async\s+)?function\s+(\w+)\s*\(|const\s+(\w+)\s*=\s*(?:async\s*)?\()")
+_TS_CALL = re.compile(r"(?:export\s+)?(?:(?:async\s+)?function\s+(\w+)\s*\(|const\s+(\w+)\s*=\s*(?:async)?\s*\()")
 _TS_METHOD = re.compile(r"\s{2,}(?:(?:async|override|private|protected|public|readonly|static)\s+)*(\w+)\s*[(=]\s*")
 _JAVA_IMPORT = re.compile(r"\s*import\s+")
 _JAVA_TYPE = re.compile(r"(?:^|\s)(?:(?:abstract|final|private|protected|public|static|strictfp)\s+)*(?:record|enum|interface|class)\s+(\w+)")
@@ -155,6 +155,7 @@ _NAMES = """Exhibits Financial Statement Schedules=15 | Principal Accountant Fee
 | Management Discussion and Analysis=7 | Reserved=6 | Market Information=5 | Mine Safety Disclosures=4 | Legal Proceedings=3 | Properties=2
 | Cybersecurity=1C | Unresolved Staff Comments=1B | Risk Factors=1A | Business=1"""
 ITEMS = {number: name.strip() for name, number in (x.strip().split("=") for x in _NAMES.split("|"))}
+RULE = "\n\n---\n\n"
 PROSE_ITEMS = frozenset("1 1A 1B 1C 2 3 7 7A 9 9A".split())
 _ITEM = re.compile(r"Item\s+(1[0-5]|1[ABC]?|[2-9][AB]?)\s*\.", re.I)
 _SLUG = re.compile(r"\bitem[-_](\d+[abc]?)[-_]", re.I)
@@ -210,7 +211,7 @@ def _text(html: str, headings: bool = False) -> str:
 def contents(html: str) -> list[tuple[str, str]]:
     """(anchor, item) of the table of contents: item in the link, in the anchor's name, or in the link's row."""
     out: dict[str, str] = {}
-    for m in re.finditer(r'(?is)<a\b[^>]+href="#([^"]+)"[^>]*>(.*?)</a>', html):
+    for m in re.finditer(r'(?is)<a\s[^>]*?href="#([^"]+)"[^>]*>(.*?)</a\s*>', html):
         anchor = m[1].strip()
         if anchor in out:
             continue
@@ -251,4 +252,4 @@ def annual_report(data: bytes, path: str | None = None, prose_only: bool = True,
                 body = r.sub(heading, body)
         if text := _text(body, bold_headings):
             out.append(f"# Item {item}.  {ITEMS.get(item, f'Item {item}')}\n\n{text}")
-    return "\n\n---\n\n".join(out)
+    return RULE.join(out)

@@ -8,6 +8,7 @@ its error instead of text.
 from __future__ import annotations
 
 import ast
+import contextlib
 import csv
 import email
 import email.header
@@ -52,10 +53,10 @@ def find_extractor(kind: str) -> Extractor:
 
 
 def decode(data: bytes) -> str:
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+    """UTF-8 where it is valid, else Latin-1, which any bytes are."""
+    with contextlib.suppress(UnicodeDecodeError):
+        return str(data, "utf-8")
+    return str(data, "latin-1")
 
 
 @extractor("text", "markdown")
@@ -319,7 +320,7 @@ def json_row(obj: dict, number: int, key: str | None) -> str:
     label = label or next((v.strip() for v in obj.values() if isinstance(v, str) and v.strip()), str(number))
     lines = [f"## {label}"]
     for k, v in obj.items():
-        shown = ", ".join(str(i) for i in v if str(i).strip()) if isinstance(v, list) else "" if v is None else str(v)
+        shown = ", ".join(filter(str.strip, map(str, v))) if isinstance(v, list) else "" if v is None else str(v)
         if k != key and shown.strip():
             lines.append(f"{k}: {shown}")
     return "\n".join(lines)
@@ -722,7 +723,8 @@ def python_code(data: bytes, path: str | None = None) -> str:
     code = lambda n: "```python\n" + ast.get_source_segment(source, n) + "\n```"
     out = []
     if found := _imports(tree):
-        out.append("## Imports\n\n```python\n" + "\n".join(ast.get_source_segment(source, n) for n in found) + "\n```")
+        lines = [ast.get_source_segment(source, n) for n in found]
+        out.append("\n".join(["## Imports", "", "```python", *lines, "```"]))
     for n in tree.body:
         if not isinstance(n, (ast.ClassDef, ast.FunctionDef, ast.AsyncFunctionDef)):
             continue

@@ -24,11 +24,11 @@ from . import extract
 class Column:
     name: str
     data_type: str
-    description: str | None = None
     nullable: bool = True
-    is_primary_key: bool = False
     is_foreign_key: bool = False
+    is_primary_key: bool = False
     foreign_key_ref: str | None = None
+    description: str | None = None
 
 
 @dataclass
@@ -46,7 +46,9 @@ ENDPOINTS = "path string, method string, description string, fields array<struct
 
 
 def tables_frame(spark: SparkSession, tables: Sequence[Table]) -> DataFrame:
-    return spark.createDataFrame([(t.name, t.schema_name, t.description, [tuple(vars(c).values()) for c in t.columns], t.row_count, t.source_db) for t in tables], TABLES)
+    order = "name data_type description nullable is_primary_key is_foreign_key foreign_key_ref".split()
+    rows = [(t.name, t.schema_name, t.description, [tuple(getattr(c, f) for f in order) for c in t.columns], t.row_count, t.source_db) for t in tables]
+    return spark.createDataFrame(rows, TABLES)
 
 
 def _lines(*pairs) -> object:

@@ -96,9 +96,9 @@ def _cve_list(obj) -> list[dict]:
         return [c for o in obj for c in _cve_list(o)]
     if not isinstance(obj, dict):
         return []
-    if "vulnerabilities" in obj:
-        return [v["cve"] for v in obj["vulnerabilities"] if "cve" in v]
-    return [obj] if str(obj.get("id", "")).upper().startswith("CVE-") else [obj["cve"]] if "cve" in obj else []
+    if (entries := obj.get("vulnerabilities")) is not None:
+        return [e["cve"] for e in entries if "cve" in e]
+    return [obj] if str(obj.get("id", ""))[:4].upper() == "CVE-" else [obj["cve"]] if "cve" in obj else []
 
 
 def _cves(obj) -> Iterator[Record]:
@@ -166,7 +166,7 @@ def _is_attack(o) -> bool:
     return isinstance(o, dict) and any(x.get("type") == "attack-pattern" and _live(x) and _mitre(x, "external_id") for x in some(o.get("objects"), dict))
 
 
-ATTACK = Renderer(_is_attack, _attack, re.compile(r"\bT\d{4}(?:\.\d{3})?\b"), lambda m: m[0])
+ATTACK = Renderer(_is_attack, _attack, re.compile(r"\bT[0-9]{4}(\.[0-9]{3})?\b"), lambda m: m[0])
 
 
 # CWE, from the dictionary form of its XML
@@ -249,6 +249,13 @@ def _study_list(obj) -> list[dict]:
     return [s for s in some(obj, dict) if "protocolSection" in s] if isinstance(obj, list) else []
 
 
+def _trial_id(study: dict):
+    node = study
+    for k in ("protocolSection", "identificationModule", "nctId"):
+        node = (node or {}).get(k)
+    return node
+
+
 def _trials(obj) -> Iterator[Record]:
     for s in _study_list(obj):
         mod = lambda n: s.get("protocolSection", {}).get(f"{n}Module", {})  # noqa: E731, B023
@@ -266,7 +273,7 @@ def _trials(obj) -> Iterator[Record]:
         yield (ident.get("nctId") or "").upper(), text, {"nct_id": nct, "title": ident.get("briefTitle", ""), "status": mod("status").get("overallStatus", ""), "phases": phases, "conditions": conditions}
 
 
-TRIALS = Renderer(lambda o: any(s.get("protocolSection", {}).get("identificationModule", {}).get("nctId") for s in _study_list(o)[:3]), _trials, re.compile(r"\bNCT\d{8}\b", re.I))
+TRIALS = Renderer(lambda o: any(_trial_id(s) for s in _study_list(o)[:3]), _trials, re.compile(r"\bNCT\d{8}\b", re.I))
 
 
 # drug labels
