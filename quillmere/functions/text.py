@@ -189,3 +189,11 @@ def cosine(a: Column, b: Column) -> Column:
 
 def squares(v: Column) -> Column:
     return F.aggregate(v, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+
+
+def tag_domain(text: Column, rules: list[tuple[str, str]], other: str = "other") -> Column:
+    """The name of the first rule (name, regular expression) that the text matches."""
+    out = F.lit(other)
+    for name, pattern in reversed(rules):
+        out = F.when(F.coalesce(text.rlike(pattern), F.lit(False)), name).otherwise(out)
+    return out

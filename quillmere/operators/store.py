@@ -94,6 +94,16 @@ class Snapshots:
         self.stage(table, df, partition)
         return self.promote(table)
 
+    def vacuum(self, table: str) -> int:
+        """Delete snapshots that are neither current nor pending, once no reader uses them; how many went."""
+        state = self._pointer(table)
+        fs, folder = self._fs(f"{self.root}/{table}")
+        keep = {x.rsplit("/", 1)[1] for x in (state["current"], state["pending"]) if x}
+        old = [f.getPath() for f in fs.listStatus(folder) if f.isDirectory() and f.getPath().getName() not in keep]
+        for p in old:
+            fs.delete(p, True)
+        return len(old)
+
     def version(self, table: str) -> int:
         return self._pointer(table)["version"]
 

@@ -6,10 +6,12 @@ tables; models (vectors, recognisers, language models) are injected functions.
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+import json
+import re
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from ..functions.embed import Embed, embedded
 from ..operators import chunking, clusters, entities, graph, retrieval, store
@@ -67,6 +69,66 @@ def _table(spark: SparkSession, s: dict) -> DataFrame:
     return spark.read.parquet(s["path"]).select(F.col(s["name_col"]).cast("string").alias("document_name"), F.col(s["content_col"]).cast("string").alias("content"))
 
 
+def route(question: str, described: Mapping[str, str], llm: Callable[[str], str]) -> list[str] | None:
+    """Namespaces or domains (id -> description) that a model picks for a question; None for no restriction.
+
+    Nothing is asked for fewer than two; ids it makes up are dropped; an answer that isn't a JSON list restricts nothing.
+    """
+    known = {k: d for k, d in described.items() if d}
+    if len(known) < 2:
+        return None
+    listed = "\n".join(f"{k}: {d}" for k, d in sorted(known.items()))
+    said = llm(f"Collections:\n{listed}\nQuestion: {question}\nAnswer with a JSON list of the ids to search.")
+    try:
+        picked = json.loads(re.sub(r"^\s*```\w*|```\s*$", "", said or ""))
+    except ValueError:
+        return None
+    chosen = [k for k in picked if isinstance(k, str) and k in known] if isinstance(picked, list) else []
+    return chosen or None
+
+
+def merged(hits: Sequence[DataFrame], k: int) -> DataFrame:
+    """The best k of several stores' hits (query_id, chunk_id, score), with the store's number; scores are compared as they are."""
+    out = None
+    for i, d in enumerate(hits):
+        part = d.drop("rank").withColumn("store", F.lit(i))
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "store", "chunk_id"))
+    return out.withColumn("rank", rank).filter(F.col("rank") <= k)
+
+
+@dataclass
+class Structured:
+    """An answer with the claims made and the evidence named."""
+
+    answer: str
+    claims: list[str] = field(default_factory=list)
+    evidence: list[str] = field(default_factory=list)
+
+
+def structured(prompt: str, llm: Callable[[str], str]) -> Structured:
+    """Ask for JSON with answer, claims and evidence; one more try on another form, then the text as it is."""
+    said, ask = "", f"{prompt}\n\nAnswer as JSON with the keys answer, claims and evidence."
+    for _ in range(2):
+        said = llm(ask)
+        found = re.search(r"\{.*\}", said or "", re.S)
+        try:
+            got = json.loads(found[0]) if found else None
+        except ValueError:
+            got = None
+        if isinstance(got, dict) and isinstance(got.get("answer"), str):
+            listed = lambda key: [str(x) for x in got.get(key) or () if x]  # noqa: E731, B023
+            return Structured(got["answer"], listed("claims"), listed("evidence"))
+        ask = f"{prompt}\n\nYour last answer wasn't valid JSON. Give only a JSON object with the keys answer, claims and evidence."
+    return Structured(said)
+
+
+def gaps(claims: DataFrame, chunks: DataFrame, least: float = 0.35) -> DataFrame:
+    """(claim_id, chunk_id, score): for each claim (claim_id, embedding) the nearest chunk that is at least so close, for a second try."""
+    near = retrieval.batch_vector_search(chunks, claims.select(F.col("claim_id").alias("query_id"), F.col("embedding").alias("query")), 1)
+    return near.filter(F.col("score") >= least).select(F.col("query_id").alias("claim_id"), F.col("id").alias("chunk_id"), "score")
+
+
 @dataclass
 class Answer:
     text: str

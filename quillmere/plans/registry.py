@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 from ..functions import text as X
 from ..operators import chunking, clusters, entities, graph, retrieval, store
 from ..sources import extract, loaders
+from ..streaming import incremental
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -512,3 +513,60 @@ def completeness_gate(spark, t):
     hits = _words(spark, t, 20).select("query_id", F.col("id").alias("chunk_id"))
     asked = spark.createDataFrame([(i, w) for i, _ in TERMS for w in VOCABULARY], "query_id int, entity string")
     return retrieval.fill_missing(retrieval.missing_entities(hits, d, asked), d)
+
+
+# more table operators
+
+_TAGS = [("license", "(?i)licen[cs]e"), ("french", r"(^|\s)que\s"), ("german", r"(^|\s)nicht\s"), ("english", r"(^|\s)that\s")]
+
+
+@query("""SELECT tag, count(*) AS n FROM (SELECT CASE WHEN regexp_matches(text, '(?i)licen[cs]e') THEN 'license' WHEN regexp_matches(text, '(^|\\s)que\\s') THEN 'french' WHEN regexp_matches(text, '(^|\\s)nicht\\s') THEN 'german' WHEN regexp_matches(text, '(^|\\s)that\\s') THEN 'english' ELSE 'other' END AS tag FROM documents) GROUP BY tag""")
+def domain_tags(spark, t):
+    return t("documents").groupBy(X.tag_domain(F.col("text"), _TAGS).alias("tag")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("""SELECT s_suppkey AS id, s_name AS name FROM supplier UNION ALL SELECT p_partkey, p_name FROM part WHERE p_partkey NOT IN (SELECT s_suppkey FROM supplier)""")
+def insert_new_rows(spark, t):
+    """On conflict nothing happens."""
+    old = t("supplier").select(F.col("s_suppkey").alias("id"), F.col("s_name").alias("name"))
+    return store.insert_new(old, t("part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("name")), ["id"])
+
+
+@query("SELECT c_custkey, c_name FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+def orphan_rows(spark, t):
+    return store.orphans(t("customer").select("c_custkey", "c_name"), t("orders").withColumnRenamed("o_custkey", "c_custkey"), "c_custkey")
+
+
+@query("""WITH c AS (SELECT doc_id, CASE WHEN doc_id % 3 > 0 THEN '[' || source || ' > ' || lang || ']' || chr(10) || text ELSE text END AS content FROM documents)
+SELECT doc_id, CASE WHEN content LIKE '[%]%' THEN split_part(content, ']', 1) || ']' END AS breadcrumb, CASE WHEN content LIKE '[%]%' THEN ltrim(substr(content, instr(content, ']') + 1), chr(10) || ' ') ELSE content END AS content FROM c""")
+def breadcrumb_split(spark, t):
+    """Two of three documents carry a breadcrumb in front, as an old store has them."""
+    old = F.when(F.col("doc_id") % 3 > 0, F.concat(F.lit("["), "source", F.lit(" > "), "lang", F.lit("]\n"), "text")).otherwise(F.col("text"))
+    return store.split_breadcrumbs(t("documents").select("doc_id", F.lit(None).cast("string").alias("breadcrumb"), old.alias("content")))
+
+
+@query("""SELECT DISTINCT s.conv_id AS query_id, n.conv_id || '_' || n.turn AS chunk_id FROM conversations s JOIN conversations n ON n.conv_id = s.conv_id AND abs(n.turn - s.turn) = 1 WHERE s.role = 'user'""")
+def structural_expansion(spark, t):
+    c = t("conversations").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_name"), F.col("turn").alias("chunk_index"), "role")
+    return retrieval.structural(c.filter("role = 'user'").select(F.col("document_name").alias("query_id"), "chunk_id"), c)
+
+
+@query("""SELECT query_id, provenance, count(*) AS n FROM (SELECT s.conv_id AS query_id, s.turn, CASE WHEN s.role = 'user' THEN 'seed' ELSE 'structural' END AS provenance FROM conversations s
+WHERE s.role = 'user' OR EXISTS (SELECT 1 FROM conversations n WHERE n.conv_id = s.conv_id AND n.role = 'user' AND abs(n.turn - s.turn) = 1)) GROUP BY ALL""")
+def pool_provenance(spark, t):
+    c = t("conversations").select(F.concat_ws("_", "conv_id", "turn").alias("chunk_id"), F.col("conv_id").alias("document_name"), F.col("turn").alias("chunk_index"), "role")
+    seeds = c.filter("role = 'user'").select(F.col("document_name").alias("query_id"), "chunk_id")
+    return retrieval.trace(retrieval.pool([("seed", seeds), ("structural", retrieval.structural(seeds, c))])).select("query_id", "provenance", "n")
+
+
+@query("""SELECT alias, entity_id, source FROM (SELECT p_name AS alias, p_partkey::VARCHAR AS entity_id, CASE WHEN p_size > 25 THEN 'user' ELSE p_brand END AS source, row_number() OVER (PARTITION BY p_name ORDER BY CASE WHEN p_size > 25 THEN 0 ELSE 1 END, CASE WHEN p_size > 25 THEN 'user' ELSE p_brand END, p_partkey::VARCHAR) AS r FROM part) WHERE r = 1""")
+def alias_priority(spark, t):
+    a = t("part").select(F.col("p_name").alias("alias"), F.col("p_partkey").cast("string").alias("entity_id"), F.lit(None).cast("string").alias("namespace"), F.when(F.col("p_size") > 25, "user").otherwise(F.col("p_brand")).alias("source"))
+    return graph.alias_table(a).select("alias", "entity_id", "source")
+
+
+@query("""SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M') AS hour, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL""")
+def event_hours(spark, t):
+    """The streaming windows over the events at rest (an extension)."""
+    w = incremental.event_windows(t("events"))
+    return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))

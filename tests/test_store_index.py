@@ -94,6 +94,38 @@ def test_changes_are_incremental(index, spark):
         index.add_source({"type": "odd"})
 
 
+def test_routing():
+    both = {"a": "apples", "b": "pears", "c": ""}
+    assert I.route("q", {"a": "x"}, lambda p: 1 / 0) is None
+    assert I.route("q", both, lambda p: '```json\n["b", "z", 1]\n```') == ["b"]
+    assert I.route("q", both, lambda p: "b") is None and I.route("q", both, lambda p: '["z"]') is None
+
+
+def test_structured_answers():
+    said = iter(["no json", '{"answer": "x", "claims": ["c"], "evidence": null}'])
+    got = I.structured("p", lambda p: next(said))
+    assert (got.answer, got.claims, got.evidence) == ("x", ["c"], [])
+    assert I.structured("p", lambda p: "plain").answer == "plain"
+
+
+def test_stores_merge_by_score(spark):
+    a, b = (spark.createDataFrame([(0, c, s, 1) for c, s in rows], "query_id int, chunk_id string, score double, rank int") for rows in ([("x", 0.9), ("y", 0.1)], [("z", 0.5)]))
+    assert [(r["chunk_id"], r["store"]) for r in I.merged([a, b], 2).orderBy("rank").collect()] == [("x", 0), ("z", 1)]
+
+
+def test_claims_without_support_find_their_chunk(index):
+    chunks = index.snapshots.read("embeddings")
+    claims = embedded(chunks.limit(1).select(F.lit(1).alias("claim_id"), "embedding_content"), "embedding_content", hash_embedding(32))
+    assert [r["claim_id"] for r in I.gaps(claims, chunks).collect()] == [1]
+
+
+def test_vacuum_keeps_the_current_snapshot(spark, tmp_path):
+    s = S.Snapshots(spark, f"file://{tmp_path}/store")
+    for n in ("a", "b", "c"):
+        s.write("sources", spark.createDataFrame([(n, None, None, None)], S.SCHEMAS["sources"]))
+    assert s.vacuum("sources") == 2 and s.read("sources").first()["source_id"] == "c"
+
+
 def test_stream_indexes_new_files_once(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in/a.txt").write_text("first text of the file")
