@@ -297,10 +297,10 @@ STOPWORDS = frozenset(
 
 def term_labels(members: DataFrame, group_col: str, text_col: str, top: int = 5, order_col: str | None = None) -> DataFrame:
     """(group, label): the most frequent words of more than 3 letters that aren't stop words, first seen first at a tie."""
-    words = F.split(F.trim(F.regexp_replace(F.lower(text_col), r"[^\p{L}\p{N}_\s]", " ")), r"\s+")
-    order = F.col(order_col) if order_col else F.lit(0)
-    w = members.select(F.col(group_col).alias("g"), order.alias("o"), F.posexplode(words).alias("i", "w")).filter((F.length("w") > 3) & ~F.col("w").isin(*sorted(STOPWORDS)))
-    counted = w.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("o", "i")).alias("first"))
+    words = F.split(F.lower(text_col), r"[^\p{L}\p{N}_]+")
+    place = F.struct(F.col(order_col).alias("o"), "i") if order_col else F.col("i")  # a number keeps the aggregate on hashes
+    w = members.select(F.col(group_col).alias("g"), *([order_col] if order_col else []), F.posexplode(words).alias("i", "w")).filter((F.length("w") > 3) & ~F.col("w").isin(*sorted(STOPWORDS)))
+    counted = w.groupBy("g", "w").agg(F.count(F.lit(1)).alias("n"), F.min(place).alias("first"))
     ranked = counted.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(F.desc("n"), "first", "w"))).filter(F.col("r") <= top)
     label = ranked.groupBy("g").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "w"))), lambda x: x["w"]), ", ").alias("label"))
     return members.select(F.col(group_col).alias("g")).distinct().join(label, "g", "left").select(F.col("g").alias(group_col), F.coalesce("label", F.lit("")).alias("label"))

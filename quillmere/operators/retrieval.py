@@ -14,6 +14,8 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from ..functions.text import cosine, est_tokens
 
 K1, B = 1.2, 0.75
+#: Query terms, at about 100 bytes each, up to which they are sent to all tasks.
+BROADCAST_TERMS = 300_000
 RRF_K = 60
 PRIORITY = dict(seed=1.0, structural=0.9, entity_adjacent=0.7, context_graph_expansion=0.6, cluster_adjacent=0.5)
 STAGES = ("seed", "structural", "entity_adjacent", "cluster_adjacent", "entity_embedding")
@@ -105,18 +107,20 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, query), best k first; ties by id.
 
-    Only postings of the queries' terms are made: terms are joined before counting, and
-    the corpus statistics (N, mean length) are two sums over the same scan.
+    Only postings of the queries' terms are made: terms are joined before counting, by
+    broadcast up to BROADCAST_TERMS of them, beyond that by a shuffle, and the corpus statistics (N, mean length) are two sums over the same scan.
     """
     base = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts")).filter("ts IS NOT NULL")
     stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
     wanted = terms.select("token").distinct()
-    hits = base.select("id", F.size("ts").alias("length"), F.explode("ts").alias("token")).join(wanted, "token").groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    small = terms.count() <= BROADCAST_TERMS  # which bounds wanted and df too
+    sent = F.broadcast if small else (lambda d: d)
+    hits = base.select("id", F.size("ts").alias("length"), F.explode("ts").alias("token")).join(sent(wanted), "token").groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
-    scored = hits.join(df, "token").join(terms, "token").crossJoin(stats).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+    scored = hits.join(sent(df), "token").join(sent(terms), "token").crossJoin(stats).groupBy("query_id", "id").agg(F.sum(part).alias("score"))
     ranked = scored.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 9)), "id")))
     return ranked if k is None else ranked.filter(F.col("rank") <= k)
 

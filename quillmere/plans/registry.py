@@ -23,7 +23,7 @@ def query(sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet"))
+            return f(spark, lambda name: loaders.read_table(spark, f"{sf_dir}/{name}.parquet"))
 
         QUERIES[f.__name__] = run
         if sql:
@@ -395,8 +395,8 @@ def bridge_edges(spark, t):
 
 
 @query("""
-WITH w AS (SELECT lang, doc_id, unnest(regexp_split_to_array(trim(regexp_replace(lower(text), '[^\\p{L}\\p{N}_\\s]', ' ', 'g')), '\\s+')) AS w FROM documents), c AS (SELECT lang, w, count(*) AS n FROM w WHERE length(w) > 3 GROUP BY ALL),
-k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, w) AS r FROM c WHERE w NOT IN (SELECT unnest(%s))) SELECT lang, string_agg(w, ', ' ORDER BY r) AS label FROM k WHERE r <= 5 GROUP BY lang""" % str(sorted(clusters.STOPWORDS)))
+WITH s AS (SELECT lang, regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}_]+') AS ws FROM documents), w AS (SELECT lang, unnest(ws) AS w, unnest(range(len(ws))) AS i FROM s), c AS (SELECT lang, w, count(*) AS n, min(i) AS i FROM w WHERE length(w) > 3 GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, i, w) AS r FROM c WHERE w NOT IN (SELECT unnest(%s))) SELECT lang, string_agg(w, ', ' ORDER BY r) AS label FROM k WHERE r <= 5 GROUP BY lang""" % str(sorted(clusters.STOPWORDS)))
 def term_labels(spark, t):
     return clusters.term_labels(t("documents").filter("text IS NOT NULL"), "lang", "text")
 

@@ -389,6 +389,20 @@ def import_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> Da
 # loading into chunks
 
 
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A parquet table; one whose files have fewer row groups than there are cores is spread over them.
+
+    Work on texts is bound by CPU, and a single row group is a single task.  Tables of a
+    cluster's size have many more row groups than cores and are read as they are.
+    """
+    df = spark.read.parquet(path)
+    files = df.inputFiles()
+    cores = spark.sparkContext.defaultParallelism
+    if len(files) >= cores:
+        return df
+    with_text = any(f.dataType.simpleString() == "string" and f.name in ("text", "html", "content") for f in df.schema.fields)
+    return df.repartition(cores) if with_text and df.rdd.getNumPartitions() < cores else df
+
 def load_texts(df: DataFrame, name_col: str, text_col: str, options: chunking.Options = chunking.Options()) -> DataFrame:
     """Enriched chunks with ids of a table of texts."""
     return chunking.with_ids(chunking.enrich(chunking.chunk_documents(df, name_col, text_col, options)))
