@@ -5,6 +5,9 @@ signatures that share a bucket are laid out vertically: word w of plane j holds
 signatures 64w .. 64w+63, so that one XOR compares one signature with 64.  Differences are
 summed by carry-save adders into bitwise counters, and after every 32 planes the blocks in
 which every lane has exceeded the radius are abandoned.
+
+Signatures know neither order nor counts of words, so they only propose: a pair within the radius
+is a pair of near copies if the texts also have half of their word 3-grams in common.
 """
 
 from __future__ import annotations
@@ -15,23 +18,50 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .kernels import WORD_CLASS, buffers, by_bytes, hash_spans, mix, row_of, spans, strings
-from .shared import quoted, written
+from .kernels import STEP, WORD_CLASS, buffers, by_bytes, grams, hash_spans, mix, row_of, spans, strings
+from .shared import quoted, written, written_bytes
 
 BITS = 256
 BANDS, BAND_BITS = 12, 21
 #: Largest number of differing bits of a near copy.
 RADIUS = 48
+#: Words of a shingle, and the least share of shingles (Jaccard) that near copies have in common.
+SHINGLE, OVERLAP = 3, 0.5
+#: The rows whose texts are compared are named by a table that is sent to all tasks up to so many bytes, and joined by a shuffle beyond.
+BROADCAST_BYTES = 32 << 20
 U = np.uint64
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89))
 ROWS = 1 << 16
 BIG = 1024
 
 
-def bit_counts(data: np.ndarray, off: np.ndarray, held: dict) -> tuple[np.ndarray, np.ndarray]:
-    """(ones, words): for each row how many of its distinct words set each of the 256 bits, and how many there are."""
+def words_of(data: np.ndarray, off: np.ndarray, held: dict) -> tuple[np.ndarray, np.ndarray]:
+    """(hashes, first): the word hashes of all rows; those of row r are ``first[r] : first[r + 1]``."""
     begin, end, first = spans(data, off, WORD_CLASS)
-    h, row, n = hash_spans(data, begin, end, held), row_of(first), len(off) - 1
+    return hash_spans(data, begin, end, held), first
+
+
+def shapes(h: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each row's sequence of words."""
+    at = np.arange(len(h)) - np.repeat(first[:-1], np.diff(first))
+    total = np.r_[U(0), np.cumsum(mix(h + STEP * (at + 1).astype(U)))]
+    return (total[first[1:]] - total[first[:-1]]).view(np.int64)
+
+
+def shingles(h: np.ndarray) -> np.ndarray:
+    """The distinct word 3-grams of one row, ascending; a shorter row is one shingle."""
+    return np.unique(grams(h, min(SHINGLE, len(h)))) if len(h) else h
+
+
+def overlap(a: np.ndarray, b: np.ndarray) -> float:
+    """Jaccard similarity of two sets of shingles."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / max(1, len(a) + len(b) - both)
+
+
+def bit_counts(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(ones, words): for each row how many of its distinct words set each of the 256 bits, and how many there are."""
+    row, n = row_of(first), len(first) - 1
     order = np.lexsort((h, row))
     h, row = h[order], row[order]
     new = np.ones(len(h), bool)
@@ -76,16 +106,17 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = strings(batch.column(1), lower=True)
         data, off = buffers(text)
         for i, j in by_bytes(off):
-            ones, words = bit_counts(data, off[i : j + 1], held)
+            h, first = words_of(data, off[i : j + 1], held)
+            ones, words = bit_counts(h, first)
             sig, low = sign(ones, words)
             has = words > 0
-            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), fixed(sig, has), fixed(low, has)], ["id", "sig", "low"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), fixed(sig, has), fixed(low, has), pa.array(shapes(h, first))], ["id", "sig", "low", "shape"])
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, low) of every row; sig is null for a null id and for a text without words."""
+    """(id, sig, low, shape) of every row; sig is null for a null id and for a text without words."""
     narrow = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
-    return narrow.mapInArrow(_signatures, "id long, sig binary, low binary").withColumn("sig", F.when(F.col("id").isNotNull(), F.col("sig")))
+    return narrow.mapInArrow(_signatures, "id long, sig binary, low binary, shape long").withColumn("sig", F.when(F.col("id").isNotNull(), F.col("sig")))
 
 
 def band_keys(sig: np.ndarray, low: np.ndarray) -> np.ndarray:
@@ -304,20 +335,85 @@ def components(edges: DataFrame) -> DataFrame:
         edges = written(small, "links")
 
 
+def confirmed(ids: np.ndarray, sig: np.ndarray, sets: list[np.ndarray], radius: int) -> np.ndarray:
+    """For the rows of one candidate group, ids ascending, the least row of each one's component of near copies.
+
+    Rows are joined that are within ``radius`` and have ``OVERLAP`` of their shingles in common, or that share an id.
+    """
+    label, sig = np.arange(len(ids)), np.ascontiguousarray(sig).view(U)
+    for i in range(1, len(ids)):
+        near = np.bitwise_count(sig[:i] ^ sig[i]).sum(1) <= radius
+        todo = np.flatnonzero(near | (ids[:i] == ids[i]))
+        while len(todo):
+            j, todo = todo[0], todo[1:]
+            if ids[i] == ids[j] or overlap(sets[i], sets[j]) >= OVERLAP:
+                a, b = sorted((label[i], label[j]))
+                label[: i + 1][label[: i + 1] == b] = a
+                todo = todo[label[todo] != a]
+    return label
+
+
+def _confirm(radius: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        root, ids, sigs, sets, known = None, [], [], [], set()
+
+        def emit() -> pa.RecordBatch:
+            i = np.array(ids, np.int64)
+            label = confirmed(i, np.stack(sigs), sets, radius) if ids else np.zeros(0, np.int64)
+            pair = np.stack([i, i[label]], axis=1)
+            pair = np.unique(pair[pair[:, 0] != pair[:, 1]], axis=0)
+            return pa.RecordBatch.from_arrays([pa.array(pair[:, 0]), pa.array(pair[:, 1])], ["node", "root"])
+
+        for batch in batches:
+            group, ident, shape = (batch.column(c).to_numpy(zero_copy_only=False) for c in range(3))
+            sig = unfixed(batch.column(3), BITS // 8)
+            data, off = buffers(strings(batch.column(4), lower=True))
+            for i, j in by_bytes(off):
+                h, first = words_of(data, off[i : j + 1], held)
+                # an id that is repeated meets all of its texts
+                for r in np.flatnonzero(shapes(h, first) == shape[i:j]):
+                    if group[i + r] != root:
+                        yield emit()
+                        root, ids, sigs, sets, known = group[i + r], [], [], [], set()
+                    if (one := (ident[i + r], shape[i + r])) not in known:
+                        known.add(one)
+                        ids.append(ident[i + r])
+                        sigs.append(sig[i + r].copy())
+                        sets.append(shingles(h[first[r] : first[r + 1]]))
+        yield emit()
+
+    return run
+
+
+def confirmed_roots(df: DataFrame, reps: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
+    """(node, root) as of ``components``, for the components of the pairs that the texts (id, text) in ``df`` confirm.
+
+    Only the texts of candidate groups are shuffled, by group, and a group is one task.
+    """
+    grouped = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
+    members = written(reps.join(grouped, reps.id == grouped.node).select("node", "root", "shape", "sig"), "members")
+    small = written_bytes(members) <= BROADCAST_BYTES
+    texts = df.join(F.broadcast(members) if small else members, F.col("id") == F.col("node")).select("root", "id", "shape", "sig", "text")
+    return written(texts.repartition("root").sortWithinPartitions("root", "id").mapInArrow(_confirm(radius), "node long, root long"), "roots")
+
+
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
     """(kept, removed): kept has (id, group_size), removed has (id).
 
-    Rows with equal signatures form one candidate; candidates meet in buckets of 21 signature
-    bits, 12 bands by 4 keys (the band's bits and those with its two least certain bits
-    flipped), and all pairs within a bucket are compared.  A group is a connected component of
-    pairs within ``radius``; its least id stays.
+    Rows with the same words in the same order form one candidate; candidates meet in buckets of 21
+    signature bits, 12 bands by 4 keys (the band's bits and those with its two least certain bits
+    flipped), and all pairs within a bucket are compared.  Components of pairs within ``radius``
+    are then compared on the texts: a group is a connected component of pairs within ``radius``
+    that have at least half of their word 3-grams in common; its least id stays.
     """
     sigs = written(signatures(df, id_col, text_col), "signatures")
-    reps = sigs.filter("sig IS NOT NULL").groupBy("sig").agg(F.min(F.struct("id", "low")).alias("m"), F.count(F.lit(1)).alias("n")).select("sig", F.col("m.id").alias("id"), F.col("m.low").alias("low"), "n")
+    reps = sigs.filter("sig IS NOT NULL").groupBy("sig", "shape").agg(F.min(F.struct("id", "low")).alias("m"), F.count(F.lit(1)).alias("n")).select("sig", "shape", F.col("m.id").alias("id"), F.col("m.low").alias("low"), "n")
     reps = written(reps, "representatives")
     keyed = reps.select("id", "sig", "low").mapInArrow(_spread, "key long, id long, sig binary")
     links = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_compare(radius), "a long, b long")
-    roots = components(links)
+    texts = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
+    roots = confirmed_roots(texts, reps, components(links), radius)
     named = reps.join(roots, reps.id == roots.node, "left").select(F.coalesce("root", "id").alias("id"), "n")
     unsigned = sigs.filter("sig IS NULL").select("id", F.lit(1).cast("long").alias("group_size"))
     kept = written(named.groupBy("id").agg(F.sum("n").alias("group_size")), "kept")

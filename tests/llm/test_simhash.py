@@ -125,3 +125,36 @@ def test_query_against_brute_force(spark, sf_dir):
     assert sum(got.values()) == docs.count()
     gone = set(ids) - want
     assert want <= set(got) and len(gone & set(got)) <= 0.1 * len(gone) and nothing == len(set(got) - set(ids))
+
+
+def test_shared_vocabulary_is_no_near_copy(spark):
+    """The same words in another order, or without some of them, have near signatures and yet aren't copies."""
+    rnd = random.Random(11)
+    a = words(rnd, 200)
+    b = rnd.sample(a, 200)
+    rows = [(1, " ".join(a)), (2, " ".join(b)), (3, " ".join(b[:100] + ["new"] + b[100:])), (4, " ".join(a).upper()), (5, " ".join(b[::-1]))]
+    # rows that repeat an id: one text is a copy of 1 and the other has words of its own
+    rows += [(6, " ".join(words(rnd, 50))), (6, " ".join(a[:-1])), (6, " ".join(a[:-1]))]
+    sig = {r["id"]: np.frombuffer(bytes(r["sig"]), np.uint8) for r in S.signatures(spark.createDataFrame(rows[:5], "doc_id long, text string")).collect()}
+    assert all(np.bitwise_count(sig[1] ^ s).sum() <= S.RADIUS for s in sig.values())
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    kept, removed = S.near_groups(df)
+    assert {tuple(r) for r in kept.collect()} == {(1, 5), (2, 2), (5, 1)}
+    assert {r["id"] for r in removed.collect()} == {3, 4, 6}
+
+
+def test_shuffled_texts_give_the_same(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    want = sorted(S.near_groups(docs)[0].collect())
+    monkeypatch.setattr(S, "BROADCAST_BYTES", 0)
+    assert sorted(S.near_groups(docs)[0].collect()) == want
+
+
+def test_confirmed_equals_brute_force():
+    rng = np.random.default_rng(3)
+    for n in (1, 2, 60):
+        sig, ids = signatures_of(n, rng, groups=2, flips=40), np.sort(rng.integers(0, 50, n))
+        sets = [np.unique(rng.integers(0, 12, rng.integers(1, 12))).astype(np.uint64) for _ in range(n)]
+        far = np.unpackbits(sig[:, None] ^ sig[None], axis=2).sum(2)
+        a, b = np.array([(i, j) for i in range(n) for j in range(i) if ids[i] == ids[j] or far[i, j] <= 30 and len({*sets[i]} & {*sets[j]}) >= 0.5 * len({*sets[i]} | {*sets[j]})] or [(0, 0)]).T
+        assert S.confirmed(ids, sig, sets, 30).tolist() == S.join(np.arange(n), a, b).tolist()
