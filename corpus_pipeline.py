@@ -5,7 +5,7 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillmere.llm import bpe, mixing
 from quillmere.llm.exact_dedup import exact_dedup
@@ -37,8 +37,20 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text."""
-    return bpe.encode(docs)
+    """Token ids in place of the text, and in ``train_order`` the row's place in training, from 0.
+
+    The stage before wrote its rows in training order and with the columns of documents alone, so the
+    order is that of the part files and of the rows in each; the rows of the files before are counted.
+    """
+    name, row = free_name(docs.columns, "file"), free_name(docs.columns, "row")
+    meta = docs.metadataColumn("_metadata")
+    files = docs.select(meta["file_name"].alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
+    earlier = Window.orderBy(F.regexp_extract(name, r"part-(\d+)", 1).cast("long"), name).rowsBetween(Window.unboundedPreceding, -1)
+    files = files.select(F.col(name).alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    placed = docs.select(*[F.col(quoted(c)) for c in docs.columns], meta["file_name"].alias(name), meta["row_index"].alias(row))
+    order = free_name(docs.columns, "train_order")
+    ordered = placed.join(F.broadcast(files), F.col(name) == F.col("of"))
+    return bpe.encode(ordered.select(*[F.col(quoted(c)) for c in docs.columns], (F.col("before") + F.col(row)).alias(order)))
 
 
 STAGES = [

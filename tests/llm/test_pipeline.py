@@ -85,3 +85,13 @@ def test_nulls_empty_and_long_texts(spark, sf_dir, tmp_path, rows):
     out = stages(spark, docs, sf_dir, tmp_path)
     assert out[1].columns == docs.columns and "token_ids" in out[-1].columns
     assert (out[-1].count() > 0) == bool(rows)
+
+
+def test_training_order_is_in_the_last_rows(spark, sf_dir, tmp_path):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    P.mixing_stage(spark, docs, sf_dir).repartitionByRange(5, "doc_id").limit(0).write.parquet(f"{tmp_path}/none")
+    assert P.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/none"), sf_dir).collect() == []
+    P.mixing_stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mixed")
+    rows = P.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir).select("doc_id", "train_order").collect()
+    want = sorted(mixing.mix_sources(docs.withColumn("tokens", mixing.text_tokens()), mixing.PRODUCTION_SCHEDULES, mixing.PRODUCTION_DEFAULT, "tokens").collect(), key=lambda r: (r["position"], r["source"], r["doc_id"], r["epoch"]))
+    assert [(r["doc_id"], r["train_order"]) for r in sorted(rows, key=lambda r: r["train_order"])] == [(r["doc_id"], i) for i, r in enumerate(want)]
