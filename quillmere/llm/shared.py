@@ -7,18 +7,23 @@ import tempfile
 import uuid
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder named by ``spark.checkpoint.dir``; a folder of our own only where it is unset."""
+    """The folder named by ``spark.checkpoint.dir``.
+
+    Where it is unset, a folder of our own in local mode only: executors on other machines couldn't read it.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        current = sc.getCheckpointDir()
-        folder = current if current else "file://" + tempfile.mkdtemp(prefix="quillmere-")
-        if not current:
-            sc.setCheckpointDir(folder)
+        folder = sc.getCheckpointDir()
+    if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="quillmere-")
+        sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
@@ -49,6 +54,22 @@ def written_bytes(df: DataFrame) -> int:
     return total
 
 
+def id_numbers(sides: list[DataFrame], id_col: str) -> tuple[list[DataFrame], DataFrame | None]:
+    """``sides`` with ``id`` as a long that orders as the ids do, and (name, id) to go back.
+
+    Whole numbers are their own; ids of another type are numbered in their order by one range sort of
+    the distinct ids, written so that the numbers stay the same.  The table of names is None for whole numbers.
+    """
+    if all(isinstance(d.schema[id_col].dataType, T.IntegralType) for d in sides):
+        return [d.withColumn("id", F.col(quoted(id_col)).cast("long")) for d in sides], None
+    ids = None
+    for d in sides:
+        one = d.select(F.col(quoted(id_col)).alias("name")).filter("name IS NOT NULL").distinct()
+        ids = one if ids is None else ids.union(one)
+    names = written(ids.distinct().orderBy("name").withColumn("id", F.monotonically_increasing_id()), "ids")
+    return [d.withColumnRenamed(id_col, "name").join(names, "name", "left") for d in sides], names
+
+
 def free_name(taken: Iterable[str], want: str) -> str:
     """``want``, or ``want_1``, ``want_2`` ... if a column of that name (in any case) exists."""
     low = {t.lower() for t in taken}
