@@ -11,15 +11,13 @@ def brute(rows, k, asked=None):
         if i is not None and v is not None and (i not in data or list(v) < list(data[i])):
             data[i] = v
     ask = data if asked is None else dict(asked)
+    names = sorted(data)
+    unit = lambda vs: (m := np.array([np.float32(v) for v in vs], float)) / np.linalg.norm(m, axis=1, keepdims=True)
+    score = np.round(unit(list(ask.values())) @ unit([data[j] for j in names]).T, 6) + 0.0
     out = []
-    for i, q in ask.items():
-        found = []
-        for j, v in data.items():
-            if asked is None and i == j:
-                continue
-            a, b = np.float32(q).astype(float), np.float32(v).astype(float)
-            found.append((-(np.round(a @ b / np.linalg.norm(a) / np.linalg.norm(b), 6) + 0.0), j))
-        out += [(i, j, r + 1, -s) for r, (s, j) in enumerate(sorted(found)[:k])]
+    for row, i in zip(score, ask):
+        best = [n for n in np.argsort(-row, kind="stable") if asked is not None or names[n] != i][:k]
+        out += [(i, names[n], r + 1, row[n]) for r, n in enumerate(best)]
     return sorted(out)
 
 
