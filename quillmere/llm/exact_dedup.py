@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F, types as T
 
-from .shared import quoted
+from .shared import free_name, quoted
 
 
 def _orderable(t: T.DataType) -> bool:
@@ -26,13 +26,15 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", c
     Rows are grouped by (128-bit hash, text): the hash leads the comparison of keys, and the
     bytes that follow it split groups that only collide.  Each map task first reduces its own
     copies to one row, so a text with millions of copies costs one row a task, and the text is
-    shuffled once.  ``copies_col`` names an extra column with the number of copies.
+    shuffled once.  ``copies_col`` names an extra column with the number of copies; it gets a number
+    at its end if ``df`` has a column of that name, which stays.
 
     Defined results: of the copies the smallest id stays, a null id only if all are null; rows
     that repeat an id and text count as copies (the row with the smallest other columns stays).
     Every row with a null text stays, since it has no content to compare; the empty text is a
-    text like others.  An empty table gives an empty table.  Extra columns of any name are kept.
+    text like others, and long texts are compared whole.  An empty table gives an empty table.  Extra columns of any name are kept.
     """
+    copies_col = copies_col and free_name(df.columns, copies_col)
     rest = [f for f in df.schema.fields if f.name not in (id_col, text_col)]
     order = F.struct(F.col(quoted(id_col)).isNull().alias("n"), F.col(quoted(id_col)).alias("i"), *[F.col(quoted(f.name)).alias(f"o{j}") for j, f in enumerate(rest) if _orderable(f.dataType)])
     unordered = [(j, f) for j, f in enumerate(rest) if not _orderable(f.dataType)]

@@ -6,7 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from .shared import quoted
+from .shared import free_name, quoted
 
 Schedule = Sequence[tuple[float, float]]
 
@@ -54,18 +54,20 @@ def mix_sources(
     repeated (column ``epoch`` counts from 0), one with more is cut.  The budget is the sum of
     all tokens unless given.
 
-    Adds ``epoch`` (int), ``offset_tokens`` (long) and ``position`` (double); these names are
-    taken from the result, so columns of the same name in ``df`` are replaced.  Rows are range
+    Adds ``epoch`` (int), ``offset_tokens`` (long) and ``position`` (double), each with a number
+    at the end of its name if ``df`` has a column of that name, which stays as it is.  Rows are range
     sorted by position.  The offset is a prefix sum in two levels: totals of 4096 hash buckets of
     each source, then a window inside a bucket, so that a hot source is spread over 4096 groups.
 
     Defined results: a null source is a source of its own with the default schedule; a null or
     non-positive token count counts as 1; null ids come first in their source; rows that
-    repeat are separate documents; a weight of 0 at all knots leaves a source out; an empty table gives
+    repeat are separate documents; ties of position sort by source, id and epoch; texts, empty or long, aren't read, only
+    their token counts; a weight of 0 at all knots leaves a source out; an empty table gives
     an empty table.
     """
     knots = knots_of(schedules, default)
-    keep = [c for c in df.columns if c not in ("epoch", "offset_tokens", "position")]
+    keep = list(df.columns)
+    epoch, offset_name, position_name = (free_name(keep, c) for c in ("epoch", "offset_tokens", "position"))
     src, ident = F.col(quoted(source_col)), F.coalesce(F.col(quoted(id_col)).cast("string"), F.lit(""))
     tok = F.greatest(F.coalesce(F.col(quoted(tokens_col)).cast("long"), F.lit(1)), F.lit(1))
     order = F.md5(F.concat(F.lit(seed), F.lit(":"), ident))
@@ -110,8 +112,8 @@ def mix_sources(
         here = F.lit(knots[k]) + 2 * left / (p0 + root)
         position = F.when((x < F.col("__qm_i")[k + 1]), F.when(p0 + root > 0, here).otherwise(F.lit(knots[k]))).otherwise(position)
     return (
-        out.select(*[F.col(quoted(c)) for c in keep], F.col("__qm_e").alias("epoch"), offset.alias("offset_tokens"), position.alias("position"))
-        .orderBy("position", F.col(quoted(source_col)), F.col(quoted(id_col)), "epoch")
+        out.select(*[F.col(quoted(c)) for c in keep], F.col("__qm_e").alias(epoch), offset.alias(offset_name), position.alias(position_name))
+        .orderBy(position_name, F.col(quoted(source_col)), F.col(quoted(id_col)), epoch)
     )
 
 

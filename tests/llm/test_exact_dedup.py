@@ -40,3 +40,10 @@ def test_clashing_columns_and_maps_stay(spark):
 
 def test_empty_table(spark):
     assert E.exact_dedup(spark.createDataFrame([], "doc_id long, text string, a int"), copies_col="n").collect() == []
+
+
+def test_number_of_copies_beside_a_column_of_that_name(spark):
+    df = spark.createDataFrame([(1, "a", "x"), (2, "a", "y"), (3, None, "z"), ("4", "", "w")][:3], "doc_id long, text string, N_copies string")
+    out = E.exact_dedup(df, copies_col="n_copies")
+    assert out.columns == ["doc_id", "text", "N_copies", "n_copies_1"]
+    assert sorted((tuple(r) for r in out.collect()), key=repr) == [(1, "a", "x", 2), (3, None, "z", 1)]

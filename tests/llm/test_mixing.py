@@ -78,6 +78,7 @@ def test_repeats_clashes_null_ids_and_empty(spark):
     df = spark.createDataFrame([(None, "b", 2, "x", 7), (1, "b", 2, "y", 8), (1, "b", 2, "y", 8)], "doc_id long, source string, tokens int, position string, `__qm_t` int")
     out = M.mix_sources(df, {}, DEFAULT, "tokens")
     rows = out.collect()
-    assert out.columns == ["doc_id", "source", "tokens", "__qm_t", "epoch", "offset_tokens", "position"]
+    assert out.columns == ["doc_id", "source", "tokens", "position", "__qm_t", "epoch", "offset_tokens", "position_1"]
+    assert sorted((r["doc_id"] or 0, r["position"]) for r in rows) == [(0, "x"), (1, "y"), (1, "y")]
     assert sorted(r["offset_tokens"] for r in rows) == [0, 2, 4] and {r["epoch"] for r in rows} == {0}
     assert M.mix_sources(df.limit(0), SCHEDULES, DEFAULT, "tokens").collect() == []
