@@ -253,7 +253,7 @@ def top_k(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embeddi
     The driver holds the pivots, at most 4096 vectors, and one line of statistics for each cell, and for each
     cell and group; all vectors stay on the executors.  A group has at most ``GROUP_BYTES`` of query vectors, and a
     data cell is sent once to each group that may need it.  The data that a group needs is spread over tasks of at
-    most ``PART_BYTES`` for data spread evenly over cells, whose k best a window merges; so neither all queries nor all data meet in one task.
+    about ``PART_BYTES``, whose k best a window merges; so neither all queries nor all data meet in one task.
 
     Defined results: a row with a null id, a null vector, a null, infinite or not-a-number
     element, or the zero vector is neither query nor neighbour, nor is a vector of other than the
@@ -329,18 +329,21 @@ def top_k(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embeddi
             reached = distance(np.array(max(-1.0, worst[g, c] - SLACK))) if np.isfinite(worst[g, c]) else np.inf
             low[g] = np.where(gap <= reached + 1e-6, np.minimum(low[g], gap), low[g])
     spread = max(-(-n * dim * 4 // PART_BYTES), min(-(-2 * cores // groups), -(-n // 4096)), 1)
-    by = np.argsort(CoverTree(pivots[cells]).order)  # place of each cell, so that neighbours share a task
-    ends = np.cumsum(count[np.argsort(by)])[by]
-    slot = np.minimum((ends - 1) * spread // n, spread - 1)
+    order = CoverTree(pivots[cells]).order  # neighbouring cells share a task; a cell with many rows lies in several
+    start = np.empty(len(cells), np.int64)
+    start[order] = np.cumsum(count[order]) - count[order]
+    where = _numbers(spark, w_cell=cells, first=start, size=count.astype(np.int64))
     g, c = np.nonzero(np.isfinite(low))
-    sent = _numbers(spark, d_cell=cells[c], task=(g * spread + slot[c]).astype(np.int32), low=low[g, c])
+    sent = _numbers(spark, d_cell=cells[c], grp=g.astype(np.int32), low=low[g, c])
+    slot = F.least(F.floor((F.col("first") + F.pmod(F.xxhash64("id", F.lit("slot")), F.col("size"))) * spread / n), F.lit(spread - 1))
+    placed = kept[0].join(F.broadcast(where), F.col("cell") == F.col("w_cell")).withColumn("slot", slot.cast("int"))
+    rows = placed.join(sent, F.col("cell") == F.col("d_cell")).select((F.col("grp") * spread + F.col("slot")).alias("task"), "low", "cell", "id", "vec")
     tasks = groups * spread
     asked = known.withColumn("task", F.explode(F.transform(F.sequence(F.lit(0), F.lit(spread - 1)), lambda i: F.col("grp") * spread + i))).select("task", "cell", "id", "vec", "floor")
-    rows = kept[0].join(sent, F.col("cell") == F.col("d_cell")).select("task", "low", "cell", "id", "vec")
     found = _compared(asked, rows, tasks, k, skip_self)
     if spread > 1:
-        order = Window.partitionBy("id").orderBy(F.desc("score"), "neighbor_id")
-        found = found.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        best = Window.partitionBy("id").orderBy(F.desc("score"), "neighbor_id")
+        found = found.withColumn("rank", F.row_number().over(best)).filter(F.col("rank") <= k)
     return named(found)
 
 
