@@ -13,9 +13,12 @@ from .shared import free_name, quoted, written
 
 BITS_A_LINE = 8
 HASHES = 3
-#: Bounds of a filter's size in bits (64 MB).  Beyond it more lines are suspected and shuffled; the result stays the same.
-LEAST_BITS, MOST_BITS = 1 << 16, 1 << 29
-SEGMENT = 1 << 15  # bytes
+#: Bits of a shard of the filters; a shard has the lines of one range of hashes.
+SHARD_BITS = 1 << 21
+#: Lines whose hashes a task holds before it sends them.
+HELD_LINES = 1 << 22
+#: A finished filter, and the table of repeated lines, are sent to all tasks up to so many bytes; beyond it lines and documents go to them.
+FILTER_BYTES, REPEATS_BYTES = 64 << 20, 32 << 20
 U = np.uint64
 
 
@@ -32,9 +35,16 @@ def lines_of(data: np.ndarray, off: np.ndarray, held: dict) -> tuple[np.ndarray,
     return hash_spans(data, begin, end, held), row, number, begin, end
 
 
-def places(h: np.ndarray, bits: int) -> list[np.ndarray]:
-    step = (h >> U(32)) | U(1)
-    return [((h + U(j) * step) & U(bits - 1)).astype(np.int64) for j in range(HASHES)]
+def shard_of(h: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of a hash, by the range in which its upper half lies."""
+    return ((h >> U(32)) * U(shards) >> U(32)).astype(np.int32)
+
+
+def places(h: np.ndarray) -> list[np.ndarray]:
+    """Bits of a shard that stand for the lower halves of hashes."""
+    low = (h & U(0xFFFFFFFF)) * U(0x9E3779B97F4A7C15)
+    step = (low >> U(40)) | U(1)
+    return [((low >> U(8)) + U(j) * step & U(SHARD_BITS - 1)).astype(np.int64) for j in range(HASHES)]
 
 
 def holds(filter_: np.ndarray, at: list[np.ndarray]) -> np.ndarray:
@@ -49,114 +59,230 @@ def insert(filter_: np.ndarray, at: list[np.ndarray]) -> None:
         np.bitwise_or.at(filter_, p >> 3, np.left_shift(1, p & 7).astype(np.uint8))
 
 
-def note(once: np.ndarray, twice: np.ndarray, h: np.ndarray, bits: int) -> None:
-    """Add hashes to the filters: those met before, here or in ``once``, go to ``twice``."""
+def note(once: np.ndarray, twice: np.ndarray, h: np.ndarray) -> None:
+    """Add hashes to a shard's filters: those met before, here or in ``once``, go to ``twice``."""
     h, n = np.unique(h, return_counts=True)
-    at = places(h, bits)
+    at = places(h)
     again = holds(once, at) | (n > 1)
     insert(twice, [p[again] for p in at])
     insert(once, at)
 
 
-def merge(once: np.ndarray, twice: np.ndarray, other_once: np.ndarray, other_twice: np.ndarray) -> None:
-    """Take in another part's filters: a line of both parts has all its bits in both ``once``."""
-    twice |= other_twice | (once & other_once)
-    once |= other_once
+def _by_shard(h: np.ndarray, shards: int) -> Iterator[tuple[int, np.ndarray]]:
+    """(shard, positions in ``h``) of the shards that have any."""
+    shard = shard_of(h, shards)
+    order = np.argsort(shard, kind="stable")
+    cut = np.flatnonzero(np.r_[True, np.diff(shard[order]) != 0, True]) if len(h) else [0]
+    for a, b in zip(cut[:-1], cut[1:]):
+        yield int(shard[order[a]]), order[a:b]
+
 
+def _build(shards: int):
+    """A task's part of the filters, kept sparse: for each shard the lower halves of its lines' hashes, twice if seen twice."""
 
-def _build(bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
-        once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
+        seen: list[np.ndarray] = []
+
+        def sent() -> pa.RecordBatch:
+            h, n = np.unique(np.concatenate(seen), return_counts=True)
+            h = np.repeat(h, np.minimum(n, 2))
+            rows = [(s, h[at].astype(np.uint32).tobytes()) for s, at in _by_shard(h, shards)]
+            seen.clear()
+            return pa.RecordBatch.from_arrays([pa.array([s for s, _ in rows], pa.int32()), pa.array([b for _, b in rows], pa.binary())], ["shard", "part"])
+
         for batch in batches:
             data, off = buffers(strings(batch.column(0)))
             for i, j in by_bytes(off):
-                note(once, twice, lines_of(data, off[i : j + 1], held)[0], bits)
-        for s in range(0, len(once), SEGMENT):
-            a, b = once[s : s + SEGMENT], twice[s : s + SEGMENT]
-            if a.any():
-                yield pa.RecordBatch.from_arrays([pa.array([s // SEGMENT], pa.int32()), pa.array([a.tobytes()]), pa.array([b.tobytes()])], ["segment", "once", "twice"])
+                seen.append(lines_of(data, off[i : j + 1], held)[0])
+                if sum(map(len, seen)) >= HELD_LINES:
+                    yield sent()
+        if seen:
+            yield sent()
 
     return run
 
 
 def _fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    now, once, twice = None, None, None
+    """The twice-filter of each shard, from all tasks' parts, sorted by shard."""
+    now, parts = None, []
+    once = twice = np.zeros(0, np.uint8)
 
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], ["segment", "twice"])
+    def take() -> None:
+        note(once, twice, np.concatenate(parts).astype(U))
+        parts.clear()
 
     for batch in batches:
-        for s, a, b in zip(*(c.to_pylist() for c in batch.columns)):
-            a, b = np.frombuffer(a, np.uint8), np.frombuffer(b, np.uint8)
+        for s, b in zip(batch.column(0).to_pylist(), batch.column(1)):
             if s != now:
                 if now is not None:
-                    yield done()
-                now, once, twice = s, a.copy(), b.copy()
-            else:
-                merge(once, twice, a, b)
+                    take()
+                    yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], ["shard", "twice"])
+                now, once, twice = s, np.zeros(SHARD_BITS // 8, np.uint8), np.zeros(SHARD_BITS // 8, np.uint8)
+            parts.append(np.frombuffer(b.as_buffer(), np.uint32))
+            if sum(map(len, parts)) >= HELD_LINES:
+                take()
+                parts.append(np.zeros(0, np.uint32))
     if now is not None:
-        yield done()
+        take()
+        yield pa.RecordBatch.from_arrays([pa.array([now], pa.int32()), pa.array([twice.tobytes()])], ["shard", "twice"])
+
 
+def twice_filter(texts: DataFrame, n_lines: int) -> tuple[DataFrame, int]:
+    """(shard, twice): the filter of lines seen at least twice, as a table of shards; and the number of shards, which follows the lines."""
+    shards = max(1, -(-BITS_A_LINE * n_lines // SHARD_BITS))
+    parts = texts.mapInArrow(_build(shards), "shard int, part binary")
+    return written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_fold, "shard int, twice binary"), "twice"), shards
 
-def twice_filter(texts: DataFrame, n_lines: int, bits: int | None = None) -> tuple[np.ndarray, int]:
-    """The merged filter of lines seen at least twice, and its size in bits."""
-    if bits is None:
-        bits = min(max(1 << (BITS_A_LINE * max(n_lines, 1) - 1).bit_length(), LEAST_BITS), MOST_BITS)
-    parts = texts.mapInArrow(_build(bits), "segment int, once binary, twice binary")
-    merged = parts.repartition("segment").sortWithinPartitions("segment").mapInArrow(_fold, "segment int, twice binary")
-    out = np.zeros(bits // 8, np.uint8)
-    for r in merged.toLocalIterator(prefetchPartitions=True):
-        out[r["segment"] * SEGMENT : r["segment"] * SEGMENT + len(r["twice"])] = np.frombuffer(r["twice"], np.uint8)
-    return out, bits
 
+def _probe(shipped, shards: int):
+    """Suspects (id, line_no, line) of texts (id, text), by the filter that was sent to all tasks."""
 
-def _probe(shipped, bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
         for batch in batches:
             data, off = buffers(strings(batch.column(1)))
-            ids = batch.column(0)
             for i, j in by_bytes(off):
                 h, row, number, begin, end = lines_of(data, off[i : j + 1], held)
-                hit = np.flatnonzero(holds(shipped.value, places(h, bits)))
+                hit = np.zeros(len(h), bool)
+                for s, at in _by_shard(h, shards):
+                    if s in shipped.value:
+                        hit[at] = holds(np.frombuffer(shipped.value[s], np.uint8), places(h[at]))
+                hit = np.flatnonzero(hit)
                 lines = [data[b:e].tobytes() for b, e in zip(begin[hit], end[hit])]
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(row[hit] + i)), pa.array(number[hit].astype(np.int32)), pa.array(lines, pa.binary())], ["id", "line_no", "line"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit] + i)), pa.array(number[hit].astype(np.int32)), pa.array(lines, pa.binary())], ["id", "line_no", "line"])
 
     return run
 
 
-def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed", bits: int | None = None) -> DataFrame:
+def _address(shards: int):
+    """(shard, ids, numbers, hashes) of the lines of texts (id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict = {}
+        for batch in batches:
+            data, off = buffers(strings(batch.column(1)))
+            for i, j in by_bytes(off):
+                h, row, number, _, _ = lines_of(data, off[i : j + 1], held)
+                each = list(_by_shard(h, shards))
+                at = np.concatenate([a for _, a in each]) if each else np.zeros(0, np.int64)
+                ends = pa.array(np.r_[0, np.cumsum([len(a) for _, a in each])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([pa.array([s for s, _ in each], pa.int32()), pa.ListArray.from_arrays(ends, batch.column(0).take(pa.array(row[at] + i))), pa.ListArray.from_arrays(ends, pa.array(number[at].astype(np.int32))), pa.array([h[a].astype(np.uint32).tobytes() for _, a in each], pa.binary())], ["shard", "ids", "numbers", "hashes"])
+
+    return run
+
+
+def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(id, line_no) of the suspects, from rows (shard, twice, ids, numbers, hashes) of which a shard's filter comes first."""
+    now, filter_ = None, None
+    for batch in batches:
+        for n, (s, twice) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1))):
+            if twice.is_valid:
+                now, filter_ = s, np.frombuffer(twice.as_py(), np.uint8)
+            elif s == now:
+                h = np.frombuffer(batch.column(4)[n].as_py(), np.uint32).astype(U)
+                hit = pa.array(np.flatnonzero(holds(filter_, places(h))))
+                yield pa.RecordBatch.from_arrays([batch.column(2)[n].values.take(hit), batch.column(3)[n].values.take(hit)], ["id", "line_no"])
+
+
+def suspects(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+    """(id, line_no, line) of the lines of (id, text) that the filter holds.
+
+    Up to ``FILTER_BYTES`` the filter goes to the lines; a larger one stays in its shards, and the hashes of lines go there.
+    """
+    kind = texts.schema["id"].dataType
+    one = T.StructType([T.StructField("id", kind), T.StructField("line_no", T.IntegerType())])
+    if shards * SHARD_BITS // 8 <= FILTER_BYTES:
+        shipped = texts.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["twice"]) for r in found.toLocalIterator()})
+        return texts.mapInArrow(_probe(shipped, shards), T.StructType([*one.fields, T.StructField("line", T.BinaryType())]))
+    schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.BinaryType())])
+    lines = texts.mapInArrow(_address(shards), schema)
+    both = found.unionByName(lines, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("twice").isNull())
+    hits = both.select("shard", "twice", "ids", "numbers", "hashes").mapInArrow(_ask, one)
+    at = hits.groupBy("id").agg(F.collect_set("line_no").alias("nos"))
+    split = texts.join(at, "id").select("id", F.split("text", "\n").alias("lines"), F.explode("nos").alias("line_no"))
+    return split.select("id", "line_no", F.get("lines", F.col("line_no")).cast("binary").alias("line")).filter("line IS NOT NULL")
+
+
+def _clean(shipped):
+    """UDF (id, text) -> (text, removed) by the table of repeated lines that was sent to all tasks."""
+    from pyspark.sql.functions import arrow_udf
+
+    out = pa.struct([("text", pa.string()), ("removed", pa.int32())])
+
+    @arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
+    def clean(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        hashes, lines, first_id, first_no = shipped.value
+        plain = strings(texts)
+        data, off = buffers(plain)
+        done, removed, held = {}, np.zeros(len(texts), np.int32), {}
+        for i, j in by_bytes(off):
+            h, row, number, begin, end = lines_of(data, off[i : j + 1], held)
+            at = np.searchsorted(hashes, h)
+            hit = np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h)) if len(hashes) else []
+            gone: dict[int, set[int]] = {}
+            for n in hit:
+                r, line, p = i + int(row[n]), data[begin[n] : end[n]].tobytes(), int(at[n])
+                ident = ids[r].as_py()
+                while ident is not None and p < len(hashes) and hashes[p] == h[n]:
+                    if lines[p] == line and (first_id[p] != ident or first_no[p] != number[n]):
+                        gone.setdefault(r, set()).add(int(number[n]))
+                    p += 1
+            for r, out_ in gone.items():
+                parts = data[off[r] : off[r + 1]].tobytes().split(b"\n")
+                done[r] = b"\n".join(x for k, x in enumerate(parts) if k not in out_).decode("utf-8", "replace")
+                removed[r] = len(out_)
+        text = pa.array([done.get(r, x) for r, x in enumerate(plain.to_pylist())], pa.string()) if done else plain.cast(pa.string())
+        return pa.StructArray.from_arrays([text, pa.array(removed)], fields=list(out))
+
+    return clean
+
+
+def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
     """``df`` with only the first occurrence of each line in the corpus; ``count_col`` has the lines taken out.
 
     Lines end at a line feed and are compared byte by byte; first is the least (id, line
-    number).  Each task fills two Bloom filters, lines seen once and lines seen twice; merging
-    two tasks' filters adds the common bits of their once-filters to the twice-filter.  Lines in
-    the final twice-filter are suspects; only these are shuffled, grouped by their bytes.
+    number).  The lines of one range of hashes have two Bloom filters, for lines seen once and lines seen twice,
+    of 8 bits a line; each task sends its part of them, and a line of two parts, or twice in one, is in the twice-filter.
+    Lines in it are suspects; only these are shuffled, grouped by their bytes, which leaves the lines that
+    do repeat, each with its first place.  Up to ``REPEATS_BYTES`` of these go to all tasks and no document is shuffled;
+    beyond that the documents are joined with the numbers of the lines that they lose.
 
     Defined results: blank lines (nothing above the space character) always stay; a row with
     a null id or text stays as it is and takes no part (its count is 0); rows that
-    repeat an id are one document, their equal lines at equal places stay or go together;
-    a text all of whose lines go becomes empty.  All columns are kept, ``count_col`` gets a number if
+    repeat an id are one document, their equal lines at equal places stay or go together; equal lines of one document are
+    ties that the line number decides; an empty text stays empty, a text all of whose lines go becomes empty, and one of any length is
+    searched whole.  All columns are kept, ``count_col`` gets a number if
     it clashes; an empty table gives an empty table.
     """
     ident, text = F.col(quoted(id_col)), F.col(quoted(text_col))
     narrow = df.filter(ident.isNotNull() & text.isNotNull()).select(ident.alias("id"), text.alias("text"))
     n = narrow.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
-    found, bits = twice_filter(narrow.select("text"), n, bits)
-    shipped = df.sparkSession.sparkContext.broadcast(found)
-    id_type = narrow.schema["id"].dataType
-    schema = T.StructType([T.StructField("id", id_type), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType())])
-    suspects = written(narrow.mapInArrow(_probe(shipped, bits), schema), "suspects")
-    first = suspects.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", "first")
-    again = suspects.join(first, "line").filter(F.struct("id", "line_no") != F.col("first"))
-    gone = again.groupBy(F.col("id").alias("__qm_id")).agg(F.collect_set("line_no").alias("__qm_gone"))
-    joined = df.join(gone, ident == F.col("__qm_id"), "left")
-    lines = F.split(text, "\n")
-    keep = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__qm_gone"))
-    cleaned = F.when(F.col("__qm_gone").isNull() | text.isNull(), text).otherwise(F.array_join(F.transform(keep, lambda i: F.get(lines, i)), "\n"))
+    found, shards = twice_filter(narrow.select("text"), n)
+    maybe = written(suspects(narrow, found, shards), "suspects")
+    first = maybe.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
+    first = written(first.select("line", "first"), "repeats")
+    size = first.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0
     name = free_name(df.columns, count_col)
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], F.when(text.isNull(), 0).otherwise(F.coalesce(F.size("__qm_gone"), F.lit(0))).alias(name))
+    if size <= REPEATS_BYTES:
+        rows = first.collect()
+        lines = [bytes(r["line"]) for r in rows]
+        ends = np.r_[0, np.cumsum([len(x) for x in lines])].astype(np.int64)
+        hashes = hash_spans(np.frombuffer(b"".join(lines), np.uint8), ends[:-1], ends[1:], {})
+        by = np.argsort(hashes, kind="stable")
+        shipped = df.sparkSession.sparkContext.broadcast((hashes[by], [lines[i] for i in by], [rows[i]["first"]["id"] for i in by], [rows[i]["first"]["line_no"] for i in by]))
+        done = df.withColumn("__qm_done", _clean(shipped)(ident, text))
+        return done.select(*[F.col("__qm_done.text").alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], F.col("__qm_done.removed").alias(name))
+    again = maybe.join(first, "line").filter(F.struct("id", "line_no") != F.col("first"))
+    mark = lambda no, line: F.concat_ws(":", no.cast("string"), line.cast("string"))
+    gone = again.groupBy(F.col("id").alias("__qm_id")).agg(F.collect_set(mark(F.col("line_no"), F.col("line"))).alias("__qm_gone"))
+    joined = df.join(gone, ident == F.col("__qm_id"), "left").withColumn("__qm_lines", F.split(text, "\n"))
+    marked = F.transform("__qm_lines", lambda x, i: mark(i, x))
+    kept = F.when(F.col("__qm_gone").isNotNull() & text.isNotNull(), F.transform(F.array_except(marked, F.col("__qm_gone")), lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x))))
+    joined = joined.withColumn("__qm_kept", kept)
+    cleaned = F.coalesce(F.array_join("__qm_kept", "\n"), text)
+    removed = F.coalesce(F.size("__qm_lines") - F.size(F.col("__qm_kept")), F.lit(0))
+    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], F.when(kept.isNull(), 0).otherwise(removed).cast("int").alias(name))
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

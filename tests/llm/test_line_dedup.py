@@ -27,11 +27,19 @@ def corpus(seed):
     return [(i, "\n".join(rnd.choice(lines) for _ in range(rnd.randrange(9)))) for i in range(80)] + [(None, "copyright"), (500, None), (501, ""), (502, "\n\n"), (503, "a " * 200_000 + "\ncopyright\nmenu | home")]
 
 
-@pytest.mark.parametrize("bits", [None, 8 * L.SEGMENT, 16 * L.SEGMENT])
-def test_against_brute_force(spark, bits):
+WAYS = {"sent": {}, "shards": {"SHARD_BITS": 1 << 8, "HELD_LINES": 50}, "lines go to the filter": {"FILTER_BYTES": 0, "SHARD_BITS": 1 << 8}, "documents are joined": {"REPEATS_BYTES": 0}, "both": {"FILTER_BYTES": 0, "REPEATS_BYTES": 0}}
+
+
+@pytest.fixture(params=WAYS)
+def way(request, monkeypatch):
+    for name, value in WAYS[request.param].items():
+        monkeypatch.setattr(L, name, value)
+
+
+def test_against_brute_force(spark, way):
     rows = corpus(2)
     df = spark.createDataFrame([(i, t, 1) for i, t in rows], "doc_id long, text string, n_removed int")
-    out = L.line_dedup(df, bits=bits)
+    out = L.line_dedup(df)
     assert out.columns == ["doc_id", "text", "n_removed", "n_removed_1"]
     got, want = out.collect(), brute(rows)
     assert sorted(((r["doc_id"], r["text"], r["n_removed_1"]) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
@@ -39,25 +47,35 @@ def test_against_brute_force(spark, bits):
 
 def test_full_filter_changes_nothing(spark, monkeypatch):
     """A filter that holds everything makes every line a suspect; the exact check decides."""
-    monkeypatch.setattr(L, "twice_filter", lambda texts, n, bits=None: (np.full(1 << 13, 255, np.uint8), 1 << 16))
+    full = lambda texts, n: (spark.createDataFrame([(0, b"\xff" * (L.SHARD_BITS // 8))], "shard int, twice binary"), 1)
+    monkeypatch.setattr(L, "twice_filter", full)
     rows = corpus(3)
     got = L.line_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     want = brute(rows)
     assert sorted((tuple(r) for r in got), key=repr) == sorted(((i, *want[i, t]) for i, t in rows), key=repr)
 
 
-def test_filters_of_parts_merge():
+def test_parts_of_the_filters_meet():
+    """Lines of two tasks, or twice in one, are in the twice-filter; few others are."""
     rng = np.random.default_rng(1)
-    bits = 1 << 16
-    shared, mine, other, double = (rng.integers(0, 2**63, 200).astype(np.uint64) for _ in range(4))
-    a, b = [np.zeros(bits // 8, np.uint8) for _ in range(2)], [np.zeros(bits // 8, np.uint8) for _ in range(2)]
-    L.note(*a, np.r_[shared, mine, double], bits)
-    L.note(*a, double, bits)
-    L.note(*b, np.r_[shared, other], bits)
-    L.merge(a[0], a[1], b[0], b[1])
-    assert L.holds(a[1], L.places(np.r_[shared, double], bits)).all()
-    assert L.holds(a[1], L.places(np.r_[mine, other], bits)).mean() < 0.05
-    assert L.holds(a[0], L.places(np.r_[shared, mine, other, double], bits)).all()
+    shared, mine, other, double = (rng.integers(0, 2**63, 2000).astype(np.uint64) for _ in range(4))
+    once, twice = (np.zeros(L.SHARD_BITS // 8, np.uint8) for _ in range(2))
+    L.note(once, twice, np.r_[shared, mine, double, double])
+    L.note(once, twice, np.r_[shared, other])
+    assert L.holds(twice, L.places(np.r_[shared, double])).all()
+    assert L.holds(twice, L.places(np.r_[mine, other])).mean() < 0.05
+    assert L.holds(once, L.places(np.r_[shared, mine, other, double])).all()
+
+
+def test_filter_at_its_load():
+    """At 8 bits a line, few lines that don't repeat are suspects."""
+    h = np.random.default_rng(2).integers(0, 2**63, 2 * L.SHARD_BITS // L.BITS_A_LINE).astype(np.uint64) * np.uint64(2)
+    assert np.bincount(L.shard_of(h, 2)).min() > 0.4 * len(h)
+    h = h[L.shard_of(h, 2) == 0]
+    once, twice = (np.zeros(L.SHARD_BITS // 8, np.uint8) for _ in range(2))
+    for part in np.array_split(h, 7):
+        L.note(once, twice, part)
+    assert L.holds(twice, L.places(h)).mean() < 0.05
 
 
 def test_rows_that_repeat_an_id(spark):
@@ -65,5 +83,15 @@ def test_rows_that_repeat_an_id(spark):
     assert sorted(tuple(r) for r in L.line_dedup(df).collect()) == [(1, "a\nb", 0), (1, "a\nb", 0), (2, "c", 1)]
 
 
+def test_repeated_ids_with_other_texts(spark, way):
+    df = spark.createDataFrame([(0, "a"), (1, "a\nq"), (1, "z\nq")], "doc_id long, text string")
+    assert sorted(tuple(r) for r in L.line_dedup(df).collect()) == [(0, "a", 0), (1, "q", 1), (1, "z\nq", 0)]
+
+
+def test_ids_that_are_not_numbers(spark, way):
+    df = spark.createDataFrame([("b", "x\n1:y"), ("a", "1:y"), ("c", "x")], "doc_id string, text string")
+    assert sorted(tuple(r) for r in L.line_dedup(df).collect()) == [("a", "1:y", 0), ("b", "x", 1), ("c", "", 1)]
+
+
 def test_empty_table(spark):
     assert L.line_dedup(spark.createDataFrame([], "doc_id long, text string")).collect() == []
