@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from .kernels import STEP, WORD_CLASS, buffers, by_bytes, grams, hash_spans, mix, row_of, spans, strings
-from .shared import quoted, written, written_bytes
+from .shared import id_numbers, quoted, written, written_bytes
 
 BITS = 256
 BANDS, BAND_BITS = 12, 21
@@ -33,6 +33,11 @@ U = np.uint64
 SEEDS = (U(0x243F6A8885A308D3), U(0x13198A2E03707344), U(0xA4093822299F31D0), U(0x082EFA98EC4E6C89))
 ROWS = 1 << 16
 BIG = 1024
+#: Rows of a bucket, and texts of a candidate group, up to which one task compares them all; larger ones are cut into
+#: blocks of that size, and each pair of blocks is a task's.
+HOT_BUCKET, HOT_GROUP = 1 << 16, 1 << 12
+#: Bits of a band's value by which rows are counted first, to find the bands' parts that may have a hot bucket.
+COARSE_BITS = 12
 
 
 def words_of(data: np.ndarray, off: np.ndarray, held: dict) -> tuple[np.ndarray, np.ndarray]:
@@ -114,7 +119,7 @@ def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def signatures(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, sig, low, shape) of every row; sig is null for a null id and for a text without words."""
+    """(id, sig, low, shape) of every row with a whole number as its id; sig is null for a null id and for a text without words."""
     narrow = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
     return narrow.mapInArrow(_signatures, "id long, sig binary, low binary, shape long").withColumn("sig", F.when(F.col("id").isNotNull(), F.col("sig")))
 
@@ -140,6 +145,38 @@ def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(np.repeat(ids, k)), fixed(np.repeat(sig, k, axis=0))], ["key", "id", "sig"])
 
 
+def _counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(coarse, n): how many keys of a task's rows fall into each coarse part of each band."""
+    total = np.zeros(BANDS << COARSE_BITS, np.int64)
+    for batch in batches:
+        for a in range(0, batch.num_rows, 2048):
+            part = batch.slice(a, 2048)
+            keys = band_keys(unfixed(part.column(1), BITS // 8), unfixed(part.column(2), BANDS * 2)).ravel()
+            total += np.bincount(coarse(keys), minlength=len(total))
+    at = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["coarse", "n"])
+
+
+def coarse(keys: np.ndarray) -> np.ndarray:
+    return (keys >> 32) << COARSE_BITS | (keys & ((1 << BAND_BITS) - 1)) >> (BAND_BITS - COARSE_BITS)
+
+
+def in_blocks(rows: DataFrame, key: str, member: str, counts: DataFrame, most: int) -> DataFrame:
+    """``rows`` with groups of ``key`` of more than ``most`` rows cut: a row of block r goes to the groups of blocks (r, t) for all t.
+
+    counts (key, n) has the large groups; no other is changed.  Any two rows of a group still meet.
+    """
+    large = written(counts.filter(F.col("n") > most).select(F.col(key).alias("__hot"), F.ceil(F.col("n") / most).cast("int").alias("__blocks")), "hot")
+    if large.isEmpty():
+        return rows
+    small = written_bytes(large) <= BROADCAST_BYTES
+    both = rows.join(F.broadcast(large) if small else large, F.col(key) == F.col("__hot"), "left")
+    mine = F.pmod(F.xxhash64(member, F.lit("block")), F.col("__blocks")).cast("int")
+    both = both.withColumn("__mine", mine).withColumn("__other", F.explode(F.when(F.col("__hot").isNull(), F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), F.col("__blocks") - 1))))
+    cut = F.xxhash64(key, F.least("__mine", "__other"), F.greatest("__mine", "__other"))
+    return both.withColumn(key, F.when(F.col("__hot").isNull(), F.col(key)).otherwise(cut)).select(*rows.columns)
+
+
 def _add(a: np.ndarray, b: np.ndarray, c: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Carry-save adder: (sum, carry) of three bit planes."""
     u = a ^ b
@@ -389,13 +426,35 @@ def _confirm(radius: int):
 def confirmed_roots(df: DataFrame, reps: DataFrame, roots: DataFrame, radius: int) -> DataFrame:
     """(node, root) as of ``components``, for the components of the pairs that the texts (id, text) in ``df`` confirm.
 
-    Only the texts of candidate groups are shuffled, by group, and a group is one task.
+    Only the texts of candidate groups are shuffled, by group; a group of more than ``HOT_GROUP`` texts is cut into
+    blocks, each pair of which is a task's.
     """
     grouped = roots.unionAll(roots.select(F.col("root").alias("node"), "root").distinct())
-    members = written(reps.join(grouped, reps.id == grouped.node).select("node", "root", "shape", "sig"), "members")
-    small = written_bytes(members) <= BROADCAST_BYTES
+    whole = written(reps.join(grouped, reps.id == grouped.node).select("node", "root", "shape", "sig"), "members")
+    sizes = whole.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    members = in_blocks(whole, "root", "node", sizes, HOT_GROUP)
+    small = written_bytes(whole) <= BROADCAST_BYTES
     texts = df.join(F.broadcast(members) if small else members, F.col("id") == F.col("node")).select("root", "id", "shape", "sig", "text")
-    return written(texts.repartition("root").sortWithinPartitions("root", "id").mapInArrow(_confirm(radius), "node long, root long"), "roots")
+    found = texts.repartition("root").sortWithinPartitions("root", "id").mapInArrow(_confirm(radius), "node long, root long")
+    if members is whole:
+        return written(found, "roots")
+    return components(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+
+
+def links(reps: DataFrame, radius: int) -> DataFrame:
+    """(a, b) that connect the rows (id, sig, low) within ``radius`` that meet in a bucket.
+
+    Rows are counted by coarse parts of the bands first; only where a part has more than ``HOT_BUCKET`` rows are its buckets counted.
+    """
+    slim = reps.select("id", "sig", "low")
+    parts = slim.mapInArrow(_counts, "coarse long, n long").groupBy("coarse").agg(F.sum("n").alias("n")).filter(F.col("n") > HOT_BUCKET).collect()  # at most 12 x 4096 rows
+    keyed = slim.mapInArrow(_spread, "key long, id long, sig binary")
+    if parts:
+        shift = F.shiftright("key", 32) * (1 << COARSE_BITS) + F.shiftright(F.col("key").bitwiseAND(F.lit((1 << BAND_BITS) - 1)), BAND_BITS - COARSE_BITS)
+        named = reps.sparkSession.createDataFrame([(r["coarse"],) for r in parts], "coarse long")
+        counts = keyed.select("key", shift.alias("coarse")).join(F.broadcast(named), "coarse").groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        keyed = in_blocks(keyed, "key", "id", counts, HOT_BUCKET)
+    return keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_compare(radius), "a long, b long")
 
 
 def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> tuple[DataFrame, DataFrame]:
@@ -407,27 +466,34 @@ def near_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", r
     are then compared on the texts: a group is a connected component of pairs within ``radius``
     that have at least half of their word 3-grams in common; its least id stays.
     """
-    sigs = written(signatures(df, id_col, text_col), "signatures")
+    slim = df.select(F.col(quoted(id_col)).alias("key"), F.col(quoted(text_col)).alias("text"))
+    kind = slim.schema["key"].dataType
+    (narrow,), names = id_numbers([slim], "key")
+
+    def named(rows: DataFrame) -> DataFrame:
+        if names is not None:
+            rows = rows.join(names, "id", "left").withColumn("id", F.col("name"))
+        return rows.select(F.col("id").cast(kind).alias("id"), *[c for c in rows.columns if c not in ("id", "name")])
+
+    texts = narrow.select("id", "text")
+    sigs = written(signatures(texts, "id", "text"), "signatures")
     reps = sigs.filter("sig IS NOT NULL").groupBy("sig", "shape").agg(F.min(F.struct("id", "low")).alias("m"), F.count(F.lit(1)).alias("n")).select("sig", "shape", F.col("m.id").alias("id"), F.col("m.low").alias("low"), "n")
     reps = written(reps, "representatives")
-    keyed = reps.select("id", "sig", "low").mapInArrow(_spread, "key long, id long, sig binary")
-    links = keyed.repartition("key").sortWithinPartitions("key", "id").mapInArrow(_compare(radius), "a long, b long")
-    texts = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text"))
-    roots = confirmed_roots(texts, reps, components(links), radius)
-    named = reps.join(roots, reps.id == roots.node, "left").select(F.coalesce("root", "id").alias("id"), "n")
+    roots = confirmed_roots(texts, reps, components(links(reps, radius)), radius)
+    grouped = reps.join(roots, reps.id == roots.node, "left").select(F.coalesce("root", "id").alias("id"), "n")
     unsigned = sigs.filter("sig IS NULL").select("id", F.lit(1).cast("long").alias("group_size"))
-    kept = written(named.groupBy("id").agg(F.sum("n").alias("group_size")), "kept")
+    kept = written(grouped.groupBy("id").agg(F.sum("n").alias("group_size")), "kept")
     removed = sigs.filter("sig IS NOT NULL").select("id").join(kept, "id", "left_anti").distinct()
-    return kept.unionAll(unsigned), removed
+    return named(kept.unionAll(unsigned)), named(removed)
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
     """``df`` without the near copies: of each group only the document with the least id.
 
     Defined results: a row with a null id, or whose text is null or has no words, is never a
-    copy and stays; rows that repeat an id are one document and stay or go together; ties can't
+    copy and stays; texts of any length are signed and compared whole; rows that repeat an id are one document and stay or go together; ties can't
     occur, as ids are distinct within a group; an empty table gives an empty table; all
-    columns, of whatever name, are kept.
+    columns, of whatever name, are kept; ids may have any type that sorts, and keep it.
     """
     _, removed = near_groups(df, id_col, text_col, radius)
     gone = removed.select(F.col("id").alias("__qm_gone"))

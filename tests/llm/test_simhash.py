@@ -3,6 +3,7 @@ import random
 import numpy as np
 import pytest
 from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
 
 from quillmere.llm import simhash as S
 
@@ -158,3 +159,32 @@ def test_confirmed_equals_brute_force():
         far = np.unpackbits(sig[:, None] ^ sig[None], axis=2).sum(2)
         a, b = np.array([(i, j) for i in range(n) for j in range(i) if ids[i] == ids[j] or far[i, j] <= 30 and len({*sets[i]} & {*sets[j]}) >= 0.5 * len({*sets[i]} | {*sets[j]})] or [(0, 0)]).T
         assert S.confirmed(ids, sig, sets, 30).tolist() == S.join(np.arange(n), a, b).tolist()
+
+
+def test_large_buckets_and_groups_are_cut(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rnd = random.Random(12)
+    w = words(rnd, 80)
+    many = spark.createDataFrame([(10_000 + i, " ".join(w[: 60 + i % 20] + [f"x{i}"])) for i in range(60)], "doc_id long, text string")
+    both = docs.select("doc_id", "text").union(many)
+    want = sorted(S.near_groups(both)[0].collect())
+    monkeypatch.setattr(S, "HOT_BUCKET", 7)
+    monkeypatch.setattr(S, "HOT_GROUP", 4)
+    assert sorted(S.near_groups(both)[0].collect()) == want
+    assert max(n for _, n in want) >= 60
+
+
+def test_coarse_parts_hold_their_keys():
+    rng = np.random.default_rng(4)
+    keys = S.band_keys(rng.integers(0, 256, (500, 32)).astype(np.uint8), rng.integers(0, S.BAND_BITS, (500, S.BANDS * 2)).astype(np.uint8)).ravel()
+    part = S.coarse(keys)
+    assert part.min() >= 0 and part.max() < S.BANDS << S.COARSE_BITS and len(np.unique(part)) > 5000
+    assert all(len(set(part[keys == k])) == 1 for k in keys[:200])
+
+
+def test_ids_that_are_not_numbers(spark, edge):
+    df = edge.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    out = S.near_dedup(df)
+    assert out.schema == df.schema and sorted(r["sig"] for r in out.collect()) == list("pqrstuw")
+    kept, removed = S.near_groups(df)
+    assert {r["id"] for r in removed.collect()} == {"doc-5", "doc-7"} and ("doc-4", 3) in {tuple(r) for r in kept.collect()}
