@@ -9,7 +9,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .kernels import TOKEN_CLASS, buffers, by_bytes, grams, hash_spans, row_of, spans, strings
 from .shared import free_name, quoted
@@ -120,15 +120,17 @@ def train(df: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     """Fit on at most ``max_rows`` labelled rows, in the order of a hash of the id.
 
     FTRL updates one example after another, so one task runs them over features that all tasks
-    made; the bound on rows keeps that task's memory and time constant.  Labels other than 0
-    and 1, null labels and texts are left out; without any example all weights are 0.
+    made; the bound on rows keeps that task's memory and time constant.  An id is one example: of labels that
+    repeat an id the largest counts, of texts the least.  Labels other than 0
+    and 1, null labels, ids and texts are left out; an empty text is an example without features, and a long one is read whole; without any example all
+    weights are 0.  Ids may have any type; extra columns of both tables are ignored, whatever their names.
     """
-    named = labels.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
+    named = labels.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(label_col)).cast("int").alias("y")).filter("id IS NOT NULL AND y IN (0, 1)")
     turn = F.xxhash64("id", F.lit("ftrl-order"))
     # at most max_rows rows, so the broadcast is bounded by the parameter
     sample = named.groupBy("id").agg(F.max("y").alias("y")).withColumn("turn", turn).orderBy("turn", "id").limit(max_rows)
-    docs = df.select(F.col(quoted(id_col)).cast("long").alias("id"), F.col(quoted(text_col)).alias("text")).filter("text IS NOT NULL")
-    chosen = docs.join(F.broadcast(sample), "id").select("turn", "y", "text")
+    docs = df.select(F.col(quoted(id_col)).alias("id"), F.col(quoted(text_col)).alias("text")).filter("text IS NOT NULL")
+    chosen = docs.join(F.broadcast(sample), "id").groupBy("id", "turn", "y").agg(F.min("text").alias("text")).select("turn", "y", "text")
     features = chosen.mapInArrow(_featurise(dim_bits), "turn long, y int, feature array<int>, value array<float>")
     ordered = features.repartition(1).sortWithinPartitions("turn", "y", F.size("feature"))
     out = ordered.mapInPandas(_train(dim_bits, how), "index int, weight float").toPandas()
@@ -150,7 +152,8 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     With ``threshold``, only rows that the classifier doesn't reject, that is without those
     with a lower score.  Defined results: a null text has no score and isn't rejected; a text
-    without tokens gets the score of the bias alone; a column already named ``score_col`` is
+    without tokens, as the empty one, gets the score of the bias alone; long texts are scored whole; rows that repeat get equal
+    scores, and a score equal to the threshold isn't rejected; a column already named ``score_col`` is
     kept, and the score's name gets a number.  An empty table gives an empty table.
     """
     cols = [quoted(c) for c in (schema_cols or df.columns)]
@@ -173,8 +176,6 @@ def score(df: DataFrame, model: Model, text_col: str = "text", score_col: str =
 
     slim = df.select(*cols, F.col(quoted(text_col)).alias("__qm_text"))
     names = [f"c{i}" for i in range(where)] + ["p"]
-    from pyspark.sql import types as T
-
     schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in slim.schema.fields[:where]), T.StructField(name, T.DoubleType())])
     names = schema.names
     return slim.mapInArrow(run, schema)

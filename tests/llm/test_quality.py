@@ -3,6 +3,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.llm import quality as Q
 
@@ -106,3 +107,73 @@ def test_nulls_empty_long_repeated_and_clashing(spark):
     kept = Q.quality_filter(edge, labels.limit(0))
     assert kept.columns == edge.columns and kept.count() == 5
     assert Q.score(edge.limit(0), model).collect() == []
+
+
+M64 = (1 << 64) - 1
+
+
+def mixed(x):
+    x = (x ^ x >> 30) * 0xBF58476D1CE4E5B9 & M64
+    x = (x ^ x >> 27) * 0x94D049BB133111EB & M64
+    return x ^ x >> 31
+
+
+def slow_features(text, dim_bits):
+    """Counts of hashed 1- and 2-grams of word and symbol runs, one token at a time, with whole numbers."""
+    tokens, kind = [], 0
+    for byte in text.encode():
+        now = 1 if byte >= 128 or chr(byte).isalnum() else 2 if 32 < byte < 127 else 0
+        if now and now == kind:
+            tokens[-1].append(byte)
+        elif now:
+            tokens.append([byte])
+        kind = now
+    base, step, hashes = 0x9E3779B97F4A7C15, 0xD6E8FEB86659FD93, []
+    for t in tokens:
+        power, h = 1, 0
+        for byte in t:
+            h, power = (h + (byte + 1) * power) & M64, power * base & M64
+        hashes.append(mixed(h))
+    out = {}
+    for f in [mixed(h) >> 64 - dim_bits for h in hashes] + [mixed((a * step + b) & M64) >> 64 - dim_bits for a, b in zip(hashes, hashes[1:])] + [0xA6A1 & (1 << dim_bits) - 1 for a, b in zip(hashes, hashes[1:]) if a == b]:
+        out[f] = out.get(f, 0) + 1
+    return out
+
+
+def test_the_query_against_a_slow_version(spark, sf_dir):
+    """Own features, own training, own scores, over all documents."""
+    docs = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").selectExpr("doc_id", "quality", "xxhash64(doc_id, 'ftrl-order') AS turn").collect()
+    feats = {i: slow_features(t or "", Q.DIM_BITS) for i, t in docs.items()}
+
+    def example(i):
+        n = math.sqrt(sum(feats[i].values()) or 1)
+        at = sorted(feats[i])
+        return at, [feats[i][f] / n for f in at]
+
+    rows = [(float(r["quality"]), *example(r["doc_id"])) for r in sorted(labels, key=lambda r: r["turn"]) if docs.get(r["doc_id"]) is not None]
+    weight = slow_ftrl(rows, Q.DIM_BITS, Q.Ftrl())
+    got = Q.op8_quality_classifier(spark, sf_dir).collect()
+    assert len(got) == len(docs) and {r["doc_id"] for r in got} == set(docs)
+    for r in got:
+        at, x = example(r["doc_id"])
+        want = 1 / (1 + math.exp(-(sum(weight.get(f, 0.0) * v for f, v in zip(at, x)) + weight[1 << Q.DIM_BITS])))
+        assert r["quality_score"] == pytest.approx(want, abs=2e-4)
+        assert r["keep"] == (want >= Q.THRESHOLD) or abs(want - Q.THRESHOLD) < 2e-4
+
+
+def test_rows_that_repeat_an_id_are_one_example(spark):
+    df, labels, _ = sample(spark, 60, 8)
+    many = df.union(spark.createDataFrame([(7, "zz the river"), (7, "zz"), (7, "zzz cash")] * 50, "doc_id long, text string"))
+    names = labels.union(labels.filter("doc_id = 7"))
+    a, b = Q.train(df, labels), Q.train(many, names)
+    assert a.bias == b.bias and a.index.tolist() == b.index.tolist()
+
+
+def test_ids_that_are_not_numbers(spark):
+    df, labels, truth = sample(spark, 200, 9)
+    text = lambda d: d.withColumn("doc_id", F.concat(F.lit("doc-"), F.col("doc_id").cast("string")))
+    out = Q.quality_filter(text(df), text(labels))
+    assert out.schema == text(df).schema
+    kept = {r["doc_id"] for r in out.collect()}
+    assert sum((f"doc-{i}" in kept) == bool(y) for i, y in truth.items()) > 190
