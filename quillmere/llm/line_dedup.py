@@ -11,14 +11,14 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from .kernels import LINE_CLASS, buffers, by_bytes, hash_spans, row_of, spans, strings
 from .shared import free_name, quoted, written
 
-BITS_A_LINE = 8
-HASHES = 3
+BITS_A_LINE = 12
+HASHES = 4
 #: Bits of a shard of the filters; a shard has the lines of one range of hashes.
 SHARD_BITS = 1 << 21
 #: Lines whose hashes a task holds before it sends them.
 HELD_LINES = 1 << 22
-#: A finished filter, and the table of repeated lines, are sent to all tasks up to so many bytes; beyond it lines and documents go to them.
-FILTER_BYTES, REPEATS_BYTES = 64 << 20, 32 << 20
+#: A finished filter is sent to all tasks up to so many bytes; beyond it the hashes of lines go to its shards.
+FILTER_BYTES = 64 << 20
 U = np.uint64
 
 
@@ -135,8 +135,17 @@ def twice_filter(texts: DataFrame, n_lines: int) -> tuple[DataFrame, int]:
     return written(parts.repartition("shard").sortWithinPartitions("shard").mapInArrow(_fold, "shard int, twice binary"), "twice"), shards
 
 
+def _hits(h: np.ndarray, filters: dict[int, bytes], shards: int) -> np.ndarray:
+    """Which lines the filter that was sent to all tasks holds."""
+    hit = np.zeros(len(h), bool)
+    for s, at in _by_shard(h, shards):
+        if s in filters:
+            hit[at] = holds(np.frombuffer(filters[s], np.uint8), places(h[at]))
+    return hit
+
+
 def _probe(shipped, shards: int):
-    """Suspects (id, line_no, line) of texts (id, text), by the filter that was sent to all tasks."""
+    """Suspects (id, line_no, line) of texts (id, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict = {}
@@ -144,17 +153,28 @@ def _probe(shipped, shards: int):
             data, off = buffers(strings(batch.column(1)))
             for i, j in by_bytes(off):
                 h, row, number, begin, end = lines_of(data, off[i : j + 1], held)
-                hit = np.zeros(len(h), bool)
-                for s, at in _by_shard(h, shards):
-                    if s in shipped.value:
-                        hit[at] = holds(np.frombuffer(shipped.value[s], np.uint8), places(h[at]))
-                hit = np.flatnonzero(hit)
+                hit = np.flatnonzero(_hits(h, shipped.value, shards))
                 lines = [data[b:e].tobytes() for b, e in zip(begin[hit], end[hit])]
                 yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(row[hit] + i)), pa.array(number[hit].astype(np.int32)), pa.array(lines, pa.binary())], ["id", "line_no", "line"])
 
     return run
 
 
+def _suspected(shipped, shards: int):
+    """UDF: whether a text has a suspect."""
+
+    @F.arrow_udf(T.BooleanType())
+    def suspected(texts: pa.Array) -> pa.Array:
+        data, off = buffers(strings(texts))
+        out, held = np.zeros(len(texts), bool), {}
+        for i, j in by_bytes(off):
+            h, row, *_ = lines_of(data, off[i : j + 1], held)
+            out[i + row[_hits(h, shipped.value, shards)]] = True
+        return pa.array(out)
+
+    return suspected
+
+
 def _address(shards: int):
     """(shard, ids, numbers, hashes) of the lines of texts (id, text)."""
 
@@ -185,16 +205,10 @@ def _ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([batch.column(2)[n].values.take(hit), batch.column(3)[n].values.take(hit)], ["id", "line_no"])
 
 
-def suspects(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
-    """(id, line_no, line) of the lines of (id, text) that the filter holds.
-
-    Up to ``FILTER_BYTES`` the filter goes to the lines; a larger one stays in its shards, and the hashes of lines go there.
-    """
+def remote_suspects(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
+    """(id, line_no, line) of the lines of (id, text) that the filter holds, whose shards the hashes of lines go to."""
     kind = texts.schema["id"].dataType
     one = T.StructType([T.StructField("id", kind), T.StructField("line_no", T.IntegerType())])
-    if shards * SHARD_BITS // 8 <= FILTER_BYTES:
-        shipped = texts.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["twice"]) for r in found.toLocalIterator()})
-        return texts.mapInArrow(_probe(shipped, shards), T.StructType([*one.fields, T.StructField("line", T.BinaryType())]))
     schema = T.StructType([T.StructField("shard", T.IntegerType()), T.StructField("ids", T.ArrayType(kind)), T.StructField("numbers", T.ArrayType(T.IntegerType())), T.StructField("hashes", T.BinaryType())])
     lines = texts.mapInArrow(_address(shards), schema)
     both = found.unionByName(lines, allowMissingColumns=True).repartition("shard").sortWithinPartitions("shard", F.col("twice").isNull())
@@ -204,49 +218,16 @@ def suspects(texts: DataFrame, found: DataFrame, shards: int) -> DataFrame:
     return split.select("id", "line_no", F.get("lines", F.col("line_no")).cast("binary").alias("line")).filter("line IS NOT NULL")
 
 
-def _clean(shipped):
-    """UDF (id, text) -> (text, removed) by the table of repeated lines that was sent to all tasks."""
-    from pyspark.sql.functions import arrow_udf
-
-    out = pa.struct([("text", pa.string()), ("removed", pa.int32())])
-
-    @arrow_udf(T.StructType([T.StructField("text", T.StringType()), T.StructField("removed", T.IntegerType())]))
-    def clean(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        hashes, lines, first_id, first_no = shipped.value
-        plain = strings(texts)
-        data, off = buffers(plain)
-        done, removed, held = {}, np.zeros(len(texts), np.int32), {}
-        for i, j in by_bytes(off):
-            h, row, number, begin, end = lines_of(data, off[i : j + 1], held)
-            at = np.searchsorted(hashes, h)
-            hit = np.flatnonzero((at < len(hashes)) & (hashes[np.minimum(at, len(hashes) - 1)] == h)) if len(hashes) else []
-            gone: dict[int, set[int]] = {}
-            for n in hit:
-                r, line, p = i + int(row[n]), data[begin[n] : end[n]].tobytes(), int(at[n])
-                ident = ids[r].as_py()
-                while ident is not None and p < len(hashes) and hashes[p] == h[n]:
-                    if lines[p] == line and (first_id[p] != ident or first_no[p] != number[n]):
-                        gone.setdefault(r, set()).add(int(number[n]))
-                    p += 1
-            for r, out_ in gone.items():
-                parts = data[off[r] : off[r + 1]].tobytes().split(b"\n")
-                done[r] = b"\n".join(x for k, x in enumerate(parts) if k not in out_).decode("utf-8", "replace")
-                removed[r] = len(out_)
-        text = pa.array([done.get(r, x) for r, x in enumerate(plain.to_pylist())], pa.string()) if done else plain.cast(pa.string())
-        return pa.StructArray.from_arrays([text, pa.array(removed)], fields=list(out))
-
-    return clean
-
-
 def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", count_col: str = "n_removed") -> DataFrame:
     """``df`` with only the first occurrence of each line in the corpus; ``count_col`` has the lines taken out.
 
     Lines end at a line feed and are compared byte by byte; first is the least (id, line
     number).  The lines of one range of hashes have two Bloom filters, for lines seen once and lines seen twice,
-    of 8 bits a line; each task sends its part of them, and a line of two parts, or twice in one, is in the twice-filter.
+    of 12 bits a line; each task sends its part of them, and a line of two parts, or twice in one, is in the twice-filter.
     Lines in it are suspects; only these are shuffled, grouped by their bytes, which leaves the lines that
-    do repeat, each with its first place.  Up to ``REPEATS_BYTES`` of these go to all tasks and no document is shuffled;
-    beyond that the documents are joined with the numbers of the lines that they lose.
+    do repeat, each with its first place.  Documents without a suspect pass straight through; only the others are
+    joined with the lines that they lose.  A filter of more than ``FILTER_BYTES`` (45 million lines) stays in its shards: then the
+    hashes of all lines go to them, and all documents are joined.
 
     Defined results: blank lines (nothing above the space character) always stay; a row with
     a null id or text stays as it is and takes no part (its count is 0); rows that
@@ -259,30 +240,30 @@ def line_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", co
     narrow = df.filter(ident.isNotNull() & text.isNotNull()).select(ident.alias("id"), text.alias("text"))
     n = narrow.agg(F.sum(F.size(F.split("text", "\n")))).first()[0] or 0
     found, shards = twice_filter(narrow.select("text"), n)
-    maybe = written(suspects(narrow, found, shards), "suspects")
-    first = maybe.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    first = written(first.select("line", "first"), "repeats")
-    size = first.agg(F.sum(F.octet_length("line") + 64)).first()[0] or 0
-    name = free_name(df.columns, count_col)
-    if size <= REPEATS_BYTES:
-        rows = first.collect()
-        lines = [bytes(r["line"]) for r in rows]
-        ends = np.r_[0, np.cumsum([len(x) for x in lines])].astype(np.int64)
-        hashes = hash_spans(np.frombuffer(b"".join(lines), np.uint8), ends[:-1], ends[1:], {})
-        by = np.argsort(hashes, kind="stable")
-        shipped = df.sparkSession.sparkContext.broadcast((hashes[by], [lines[i] for i in by], [rows[i]["first"]["id"] for i in by], [rows[i]["first"]["line_no"] for i in by]))
-        done = df.withColumn("__qm_done", _clean(shipped)(ident, text))
-        return done.select(*[F.col("__qm_done.text").alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], F.col("__qm_done.removed").alias(name))
+    flagged = F.lit(True)
+    if shards * SHARD_BITS // 8 <= FILTER_BYTES:
+        shipped = df.sparkSession.sparkContext.broadcast({r["shard"]: bytes(r["twice"]) for r in found.toLocalIterator()})
+        schema = T.StructType([T.StructField("id", narrow.schema["id"].dataType), T.StructField("line_no", T.IntegerType()), T.StructField("line", T.BinaryType())])
+        maybe, flagged = narrow.mapInArrow(_probe(shipped, shards), schema), _suspected(shipped, shards)(text)
+    else:
+        maybe = remote_suspects(narrow, found, shards)
+    maybe = written(maybe, "suspects")
+    first = maybe.groupBy("line").agg(F.min(F.struct("id", "line_no")).alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("line", "first")
     again = maybe.join(first, "line").filter(F.struct("id", "line_no") != F.col("first"))
     mark = lambda no, line: F.concat_ws(":", no.cast("string"), line.cast("string"))
     gone = again.groupBy(F.col("id").alias("__qm_id")).agg(F.collect_set(mark(F.col("line_no"), F.col("line"))).alias("__qm_gone"))
-    joined = df.join(gone, ident == F.col("__qm_id"), "left").withColumn("__qm_lines", F.split(text, "\n"))
+
+    name = free_name(df.columns, count_col)
+    whole = df.withColumn("__qm_flag", ident.isNotNull() & text.isNotNull() & flagged)
+    joined = whole.filter("__qm_flag").join(gone, ident == F.col("__qm_id"), "left").withColumn("__qm_lines", F.split(text, "\n"))
     marked = F.transform("__qm_lines", lambda x, i: mark(i, x))
-    kept = F.when(F.col("__qm_gone").isNotNull() & text.isNotNull(), F.transform(F.array_except(marked, F.col("__qm_gone")), lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x))))
+    kept = F.when(F.col("__qm_gone").isNotNull(), F.transform(F.array_except(marked, F.col("__qm_gone")), lambda x: F.substring(x, F.locate(":", x) + 1, F.length(x))))
     joined = joined.withColumn("__qm_kept", kept)
     cleaned = F.coalesce(F.array_join("__qm_kept", "\n"), text)
-    removed = F.coalesce(F.size("__qm_lines") - F.size(F.col("__qm_kept")), F.lit(0))
-    return joined.select(*[cleaned.alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], F.when(kept.isNull(), 0).otherwise(removed).cast("int").alias(name))
+    removed = F.when(F.col("__qm_kept").isNull(), 0).otherwise(F.size("__qm_lines") - F.size("__qm_kept"))
+    some = joined.select(*[cleaned.alias(c) if c == text_col else F.col(quoted(c)) for c in df.columns], removed.cast("int").alias(name))
+    rest = whole.filter("NOT __qm_flag").select(*[F.col(quoted(c)) for c in df.columns], F.lit(0).alias(name))
+    return rest.unionAll(some)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
