@@ -133,8 +133,8 @@ def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, patter
 
     Ids are ranks of the vocabulary, as merges by best rank give them.  The driver reads the
     vocabulary (its size doesn't depend on the data) and ships it with the tasks.  Defined
-    results: a null text has null ids, count and check; the empty text has no ids; a clash
-    of names gives the new column a number; an empty table gives an empty table.
+    results: a null text has null ids, count and check; the empty text has no ids; a long text is encoded whole; rows that repeat get equal
+    ids, and of merges that tie in rank the left one comes first; a clash of names gives the new column a number; an empty table gives an empty table.
     """
     ranks = read_ranks(path)
     shipped = df.sparkSession.sparkContext.broadcast((serialise(ranks), ranks))
@@ -175,23 +175,28 @@ def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, patter
 
 
 def decode(df: DataFrame, ids_col: str = "token_ids", path: str = VOCABULARY, text_col: str = "text") -> DataFrame:
-    """All columns with the text of the ids; null ids or a null or unknown id give a null text, bytes that aren't UTF-8 are replaced."""
+    """All columns with the text of the ids.
+
+    Defined results: null ids, and a null or unknown id among them, give a null text; no ids give the empty text, and any number of ids a text
+    as long; bytes that aren't UTF-8 are replaced; rows that repeat get equal texts; a clash of names gives the text's column a number; an empty
+    table gives an empty table.
+    """
     ranks = read_ranks(path)
     shipped = df.sparkSession.sparkContext.broadcast((serialise(ranks), ranks))
     names = [*df.columns, free_name(df.columns, text_col)]
-    where = df.columns.index(ids_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         coder = None
         for batch in batches:
             coder = coder or Coder(*shipped.value)
             known, out = len(coder.start) - 1, []
-            for ids in batch.column(where).to_pylist():
+            for ids in batch.column(batch.num_columns - 1).to_pylist():
                 ok = ids is not None and all(i is not None and 0 <= i < known for i in ids)
                 out.append(coder.decode(np.array(ids, np.int64)).tobytes().decode("utf-8", "replace") if ok else None)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(out, pa.string())], names)
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[-1], T.StringType())]))
+    asked = df.select(*[F.col(quoted(c)) for c in df.columns], F.col(quoted(ids_col)).alias("__qm_ids"))
+    return asked.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(names[-1], T.StringType())]))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import re
 import uuid
 from collections.abc import Iterable, Iterator
@@ -16,10 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .shared import free_name, new_path, quoted
 
-DOMAINS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
-TOPS = ("example.com", "example.net", "example.org")
-#: Domains that the production query filters, with all their subdomains.
-PRODUCTION_BLOCKLIST = tuple(f"{d}.{t}" for d in DOMAINS for t in TOPS)
+#: The list of the production query: an entry a line, a domain (with all its subdomains) or a domain and a path; # starts a comment.
+PRODUCTION_LIST = os.path.join(os.path.dirname(os.path.abspath(__file__)), "blocklist.txt")
 #: Entries in a shard of the digest.
 SHARD = 4_000_000
 
@@ -70,8 +69,21 @@ def _signed(keys: np.ndarray) -> np.ndarray:
     return (keys ^ np.uint64(1 << 63)).view(np.int64)
 
 
+def python_uri(uri: str) -> str:
+    """A URI as Spark writes it, for Python: s3a is s3, dbfs is its mount."""
+    if uri.startswith("dbfs:"):
+        return "/dbfs/" + uri[5:].lstrip("/")
+    return re.sub("^s3[an]:", "s3:", uri)
+
+
 def _file_system(uri: str) -> tuple[fs.FileSystem, str]:
-    return fs.FileSystem.from_uri(uri) if re.match(r"^\w+:", uri) else (fs.LocalFileSystem(), uri)
+    uri = python_uri(uri)
+    if not re.match(r"\w+:", uri):
+        return fs.LocalFileSystem(), uri
+    try:
+        return fs.FileSystem.from_uri(uri)
+    except (ValueError, pa.ArrowInvalid, pa.ArrowNotImplementedError) as e:
+        raise ValueError(f"Python workers can't write to {uri!r}: the digest needs a shared folder on file, hdfs, s3, s3a, gs, abfs, abfss or dbfs ({e})") from e
 
 
 def _put(uri: str, name: str, data: bytes) -> None:
@@ -98,10 +110,11 @@ def build_digest(entries: DataFrame, entry_col: str = "entry") -> Digest:
 
     The driver gets one row for each shard.  A task that runs again writes a folder of its own, so
     that a lost executor leaves no half-written shard in use.  Null and empty entries are left
-    out, equal ones count once; an empty list gives a digest without shards.
+    out, equal ones count once, long ones are kept whole; an empty list gives a digest without shards; extra columns are ignored.
     """
     spark = entries.sparkSession
     base = new_path(spark, "digest")
+    _file_system(base)  # a folder that can't be written is an error here, not in every task
 
     def key(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
@@ -163,16 +176,17 @@ class Prober:
 def match_urls(df: DataFrame, digest: Digest, url_col: str = "url", rule_col: str = "rule") -> DataFrame:
     """All columns with ``rule``, the most specific entry that lists the URL, or null.
 
-    Defined results: a null, empty or host-less URL has no rule; equal URLs get equal rules;
+    Defined results: a null, empty or host-less URL has no rule, and one of any length is searched whole; equal URLs, and rows that
+    repeat, get equal rules; of entries that list a URL those with a path come first, then the longer host, so there are no ties;
     the name of the new column gets a number if it clashes; an empty table gives an empty table.
     """
     name = free_name(df.columns, rule_col)
-    where, names = df.columns.index(url_col), [*df.columns, name]
+    names = [*df.columns, name]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         probe = Prober(digest)
         for batch in batches:
-            tried = [candidates(u) for u in batch.column(where).to_pylist()]
+            tried = [candidates(u) for u in batch.column(batch.num_columns - 1).to_pylist()]
             flat = [c for t in tried for c in t]
             listed = probe(flat) if flat else np.zeros(0, bool)
             first, rules = 0, []
@@ -180,24 +194,42 @@ def match_urls(df: DataFrame, digest: Digest, url_col: str = "url", rule_col: st
                 hit = np.flatnonzero(listed[first : first + len(t)])
                 rules.append(t[hit[0]] if len(hit) else None)
                 first += len(t)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(rules, pa.string())], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(rules, pa.string())], names)
+
+    asked = df.select(*[F.col(quoted(c)) for c in df.columns], F.col(quoted(url_col)).cast("string").alias("__qm_url"))
+    return asked.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(name, T.StringType())]))
+
+def read_list(spark: SparkSession, path: str = PRODUCTION_LIST) -> DataFrame:
+    """(entry) of a list: a table of that column, or text with an entry a line; a file of this package is read by the driver."""
+    if path.startswith(os.path.dirname(PRODUCTION_LIST)):
+        with open(path, encoding="utf-8") as f:
+            lines = spark.createDataFrame([(x,) for x in f.read().split("\n")], "value string")
+    elif path.endswith(".parquet"):
+        return spark.read.parquet(path).select("entry")
+    else:
+        lines = spark.read.text(path)
+    return lines.select(F.trim(F.regexp_replace("value", "(^|\\s)#.*$", "")).alias("entry")).filter("entry <> ''")
 
 
 def blocklist(spark: SparkSession, entries: Iterable[str]) -> Digest:
     return build_digest(spark.createDataFrame([(e,) for e in entries], "entry string"))
 
 
-def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every page with the blocklist entry that lists its URL."""
+def op6_url_filter(spark: SparkSession, sf_dir: str, path: str = PRODUCTION_LIST) -> DataFrame:
+    """Every page with the entry of the list that lists its URL."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url")
-    matched = match_urls(pages, blocklist(spark, PRODUCTION_BLOCKLIST))
+    matched = match_urls(pages, build_digest(read_list(spark, path)))
     return matched.select("page_id", "url", "rule", F.col("rule").isNotNull().alias("blocked"))
 
 
+def _listed() -> list[str]:
+    with open(PRODUCTION_LIST, encoding="utf-8") as f:
+        return [x for line in f if (x := re.sub(r"(^|\s)#.*$", "", line).strip())]
+
+
 OP6_SQL = f"""
-WITH rules(rule) AS (VALUES {", ".join(f"('{d}')" for d in PRODUCTION_BLOCKLIST)}),
+WITH rules(rule) AS (VALUES {", ".join(f"('{d}')" for d in _listed())}),
 h AS (SELECT page_id, url, rtrim(lower(regexp_extract(url, '^\\s*(?:[A-Za-z][A-Za-z0-9+.\\-]*:)?(?://)?(?:[^/?#@\\s]*@)?([^/?#:\\s]*)', 1)), '.') AS host FROM pages)
 SELECT page_id, url, rule, rule IS NOT NULL AS blocked FROM h LEFT JOIN rules ON host = rule OR ends_with(host, '.' || rule)
 """

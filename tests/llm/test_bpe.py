@@ -81,3 +81,9 @@ def test_query_against_another_tokenizer(spark, sf_dir, reference):
     got = B.op5_byte_bpe(spark, sf_dir).collect()
     assert len(got) == len(text)
     assert all(r["token_ids"] == reference.encode_ordinary(text[r["doc_id"]]) and r["round_trip"] for r in got)
+
+
+def test_decode_resolves_names_as_spark_does(spark):
+    df = spark.createDataFrame([([72, 73], 1)], "Token_IDs array<int>, text int")
+    out = B.decode(df)
+    assert out.columns == ["Token_IDs", "text", "text_1"] and out.count() == 1

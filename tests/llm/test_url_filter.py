@@ -58,3 +58,41 @@ def test_empty_list_and_table(spark):
     nothing = U.blocklist(spark, [])
     assert nothing.shards == () and U.match_urls(df, nothing).first()["rule"] is None
     assert U.match_urls(df.limit(0), U.blocklist(spark, ["a.com"])).collect() == []
+
+
+def test_lists_from_a_file_and_a_table(spark, tmp_path):
+    (tmp_path / "list.txt").write_text("# head\nads.com   # a comment\n\n bad.org/p#x\nbad.org/q\n")
+    text = U.read_list(spark, f"file://{tmp_path}/list.txt")
+    assert sorted(r["entry"] for r in text.collect()) == ["ads.com", "bad.org/p#x", "bad.org/q"]
+    text.write.parquet(f"{tmp_path}/list.parquet")
+    assert U.read_list(spark, f"{tmp_path}/list.parquet").count() == 3
+    assert sorted(r["entry"] for r in U.read_list(spark).collect()) == sorted(U._listed()) and len(U._listed()) >= 18
+
+
+def test_the_query_with_another_list(spark, sf_dir, tmp_path):
+    """All pages against brute force, with path rules drawn from the pages."""
+    urls = [r["url"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()]
+    entries = ["example.net", "ads-track.example.com"]
+    for u in urls[::4]:
+        host, path = U.split_url(u)
+        entries += [host + path, host + "/" + path.split("/")[1] if path else host]
+    (tmp_path / "list.txt").write_text("\n".join(entries))
+    got = U.op6_url_filter(spark, sf_dir, f"file://{tmp_path}/list.txt").collect()
+    assert len(got) == len(urls) and len({r["rule"] for r in got}) > 5
+    assert all(r["rule"] == brute(r["url"], entries) and r["blocked"] == (r["rule"] is not None) for r in got)
+
+
+def test_column_names_resolve_as_in_spark(spark):
+    df = spark.createDataFrame([("http://a.com/x", 1), (None, 2)], "URL string, `__qm` int")
+    out = U.match_urls(df, U.blocklist(spark, ["a.com"]), "url")
+    assert out.columns == ["URL", "__qm", "rule"] and [r["rule"] for r in out.orderBy("__qm").collect()] == ["a.com", None]
+
+
+def test_shared_folders_of_any_scheme(tmp_path):
+    from pyarrow import fs
+
+    assert isinstance(U._file_system(f"file://{tmp_path}/x")[0], fs.LocalFileSystem)
+    assert U._file_system("dbfs:/a/b")[1] == "/dbfs/a/b"
+    assert U.python_uri("s3a://bucket/a") == U.python_uri("s3n://bucket/a") == "s3://bucket/a"
+    with pytest.raises(ValueError, match="shared folder"):
+        U._file_system("wasbs://c@account/x")
