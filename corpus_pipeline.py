@@ -5,52 +5,110 @@ Every stage takes (spark, docs, sf_dir) and works on all that the stage before i
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from quillmere.llm import bpe, mixing
 from quillmere.llm.exact_dedup import exact_dedup
 from quillmere.llm.quality import quality_filter
-from quillmere.llm.shared import free_name, quoted, written
+from quillmere.llm.shared import free_name, quoted, written, written_bytes
 from quillmere.llm.simhash import near_dedup
 
 
+#: The places where sources begin again are sent to all tasks up to so many bytes, and joined by source beyond.
+EPOCHS_BYTES = 8 << 20
+
+
+def _epochs(shipped):
+    """UDF (source, place): how often the source had begun again at that place."""
+
+    @F.arrow_udf("int")
+    def epochs(source: pa.Array, place: pa.Array) -> pa.Array:
+        names, at = source.dictionary_encode(), place.to_numpy()
+        code, out = names.indices.to_numpy(), np.zeros(len(at), np.int32)
+        for i, s in enumerate(names.dictionary.to_pylist()):
+            mine = code == i
+            out[mine] = np.maximum(np.searchsorted(shipped.value.get(s, at[:0]), at[mine], "right") - 1, 0)
+        return pa.array(out)
+
+    return epochs
+
+
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier trained on ``labels`` doesn't reject."""
+    """Documents that the classifier trained on ``labels`` doesn't reject.
+
+    Defined results: a null text stays, the empty text goes by the bias alone, long texts are scored whole; rows that repeat stay or go
+    together; a score equal to the threshold stays; extra columns of any name are kept; an empty table gives an empty table.
+    """
     return quality_filter(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document for each distinct text."""
+    """One document for each distinct text, the one of least id.
+
+    Defined results: every row with a null text stays, one with the empty text; long texts are compared whole; of rows that repeat an id and text
+    one stays, at a tie that of the least other columns; extra columns of any name are kept; an empty table gives an empty table.
+    """
     return exact_dedup(docs)
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies."""
+    """One document of each group of near copies, the one of least id.
+
+    Defined results: rows with a null id, a null text or a text without words stay; long texts are compared whole; rows that repeat an id are one
+    document, so there are no ties; extra columns of any name are kept; an empty table gives an empty table.
+    """
     return near_dedup(docs)
 
 
 def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents in training order under the production schedule; a source's documents repeat or end as its weights ask."""
+    """Documents in training order under the production schedule; a source's documents repeat or end as its weights ask.
+
+    The rows have the columns of documents, and their order, as written, is the training order.  Defined results: a null or empty text counts as one
+    token, a long one by its bytes; a null source is a source of its own; null ids come first in their source; rows that repeat are separate documents; positions
+    that tie sort by source, id and epoch; extra columns of any name are kept; an empty table gives an empty table.
+    """
     tokens = free_name(docs.columns, "tokens")
     mixed = mixing.mix_sources(docs.withColumn(tokens, mixing.text_tokens()), mixing.PRODUCTION_SCHEDULES, mixing.PRODUCTION_DEFAULT, tokens)
     return mixed.select(*[F.col(quoted(c)) for c in docs.columns])
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids in place of the text, and in ``train_order`` the row's place in training, from 0.
+    """Token ids in place of the text, in ``train_order`` the row's place in training from 0, and in ``epoch`` how often its source had begun again.
 
     The stage before wrote its rows in training order and with the columns of documents alone, so the
-    order is that of the part files and of the rows in each; the rows of the files before are counted.
+    order is that of the part files and of the rows in each; the rows of the files before are counted.  A source begins with the same
+    document each time, the first in the order of mixing.
+
+    Defined results: a null text has null ids, the empty text none, a long one all of its own; rows that repeat are separate rows, each with its place; where
+    ids repeat in a source, rows that tie in mixing may be counted to the epoch before; a name that is taken gets a number; extra columns are
+    kept; an empty table gives an empty table.
     """
-    name, row = free_name(docs.columns, "file"), free_name(docs.columns, "row")
+    taken = list(docs.columns)
+    name, row, before, order, source, first, marks = (free_name(taken, c) for c in ("__file", "__row", "__before", "train_order", "__source", "__first", "__marks"))
+    epoch = free_name(taken, "epoch")
     meta = docs.metadataColumn("_metadata")
     files = docs.select(meta["file_name"].alias(name)).groupBy(name).agg(F.count(F.lit(1)).alias("n"))
     earlier = Window.orderBy(F.regexp_extract(name, r"part-(\d+)", 1).cast("long"), name).rowsBetween(Window.unboundedPreceding, -1)
-    files = files.select(F.col(name).alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    placed = docs.select(*[F.col(quoted(c)) for c in docs.columns], meta["file_name"].alias(name), meta["row_index"].alias(row))
-    order = free_name(docs.columns, "train_order")
-    ordered = placed.join(F.broadcast(files), F.col(name) == F.col("of"))
-    return bpe.encode(ordered.select(*[F.col(quoted(c)) for c in docs.columns], (F.col("before") + F.col(row)).alias(order)))
+    files = files.select(F.col(name).alias("of"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias(before))
+    kept = [F.col(quoted(c)) for c in docs.columns]
+    key = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    place = F.struct(F.md5(F.concat(F.lit(f"{mixing.SEED}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))), mixing.text_tokens(), F.xxhash64("text"))
+    placed = docs.select(*kept, meta["file_name"].alias(name), meta["row_index"].alias(row), key.alias(source), place.alias(first))
+    placed = placed.join(F.broadcast(files), F.col(name) == F.col("of")).withColumn(order, F.col(before) + F.col(row))
+    # a row for each source
+    heads = docs.select(key.alias("s"), place.alias("p")).groupBy("s").agg(F.min("p").alias("p"))
+    begins = written(placed.join(heads, (F.col(source) == F.col("s")) & (F.col(first) == F.col("p"))).select("s", order), "epochs")
+    if written_bytes(begins) <= EPOCHS_BYTES:
+        held: dict = {}
+        for r in begins.collect():
+            held.setdefault(r[0], []).append(r[1])
+        count, ordered = _epochs(spark.sparkContext.broadcast({s: np.sort(x) for s, x in held.items()}))(source, order), placed
+    else:
+        begins = begins.groupBy("s").agg(F.sort_array(F.collect_list(order)).alias(marks))
+        count, ordered = F.greatest(F.size(F.filter(marks, lambda x: x <= F.col(order))) - 1, F.lit(0)), placed.join(begins, F.col(source) == F.col("s"), "left")
+    return bpe.encode(ordered.select(*kept, F.col(order), count.alias(epoch)))
 
 
 STAGES = [
