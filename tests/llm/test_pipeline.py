@@ -1,5 +1,6 @@
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline as P
 from quillmere.llm import bpe, mixing, quality, simhash
@@ -79,7 +80,7 @@ def test_run_gives_what_the_stages_give(spark, sf_dir, tmp_path):
     assert table([tuple(r) for r in got.collect()], got.columns) == table([tuple(r) for r in want.collect()], want.columns)
 
 
-@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "src0", 0), (None, "some text", "en", None, 9), (3, "word " * 100_000, "de", "src1", 5), (3, "word " * 100_000, "de", "src1", 5)]])
+@pytest.mark.parametrize("rows", [[], [(1, None, None, None, None), (2, "", "en", "src0", 0), (None, "some text", "en", None, 9), (3, "word " * 20_000, "de", "src1", 5), (3, "word " * 20_000, "de", "src1", 5)]])
 def test_nulls_empty_and_long_texts(spark, sf_dir, tmp_path, rows):
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
     out = stages(spark, docs, sf_dir, tmp_path)
@@ -87,11 +88,30 @@ def test_nulls_empty_and_long_texts(spark, sf_dir, tmp_path, rows):
     assert (out[-1].count() > 0) == bool(rows)
 
 
-def test_training_order_is_in_the_last_rows(spark, sf_dir, tmp_path):
+@pytest.mark.parametrize("most", [8 << 20, 0])
+def test_training_order_is_in_the_last_rows(spark, sf_dir, tmp_path, monkeypatch, most):
+    monkeypatch.setattr(P, "EPOCHS_BYTES", most)
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     P.mixing_stage(spark, docs, sf_dir).repartitionByRange(5, "doc_id").limit(0).write.parquet(f"{tmp_path}/none")
     assert P.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/none"), sf_dir).collect() == []
     P.mixing_stage(spark, docs, sf_dir).write.parquet(f"{tmp_path}/mixed")
-    rows = P.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir).select("doc_id", "train_order").collect()
+    rows = P.bpe_stage(spark, spark.read.parquet(f"{tmp_path}/mixed"), sf_dir).select("doc_id", "train_order", "epoch").collect()
     want = sorted(mixing.mix_sources(docs.withColumn("tokens", mixing.text_tokens()), mixing.PRODUCTION_SCHEDULES, mixing.PRODUCTION_DEFAULT, "tokens").collect(), key=lambda r: (r["position"], r["source"], r["doc_id"], r["epoch"]))
-    assert [(r["doc_id"], r["train_order"]) for r in sorted(rows, key=lambda r: r["train_order"])] == [(r["doc_id"], i) for i, r in enumerate(want)]
+    assert [(r["doc_id"], r["train_order"], r["epoch"]) for r in sorted(rows, key=lambda r: r["train_order"])] == [(r["doc_id"], i, r["epoch"]) for i, r in enumerate(want)]
+    assert max(r["epoch"] for r in rows) > 0
+
+
+NAMES = ["doc_id", "text", "lang", "source", "n_chars", "position", "epoch", "train_order", "tokens", "quality_score", "sig", "token_ids", "__file", "key", "id", "name"]
+
+
+def test_columns_whose_names_clash_go_through(spark, sf_dir, tmp_path):
+    """Every stage leaves the columns of its caller as they are, in any name that it uses itself."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").limit(60)
+    extra = docs.select("*", *[F.concat(F.lit(f"{c}-"), F.col("doc_id").cast("string")).alias(c) for c in NAMES[5:]])
+    out = stages(spark, extra, sf_dir, tmp_path)
+    assert all(d.columns == NAMES for d in out[:5])
+    last = out[5]
+    assert last.columns[: len(NAMES) - 1] == [c for c in NAMES if c != "text"]
+    assert last.columns[len(NAMES) - 1 :] == ["train_order_1", "epoch_1", "token_ids_1", "n_tokens", "round_trip"]
+    for r in last.collect():
+        assert all(r[c] == f"{c}-{r['doc_id']}" for c in NAMES[5:]) and r["round_trip"] in (True, None)
