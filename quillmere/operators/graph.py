@@ -97,7 +97,7 @@ def two_hop(triples: DataFrame, seeds: DataFrame) -> tuple[DataFrame, DataFrame,
     step = lambda s: ways.join(s.select(F.col("id").alias("x")), "x").select(F.col("y").alias("id")).distinct()
     one = step(start).join(start, "id", "left_anti")
     two = step(one).join(start.union(one), "id", "left_anti")
-    near = triples.join(start.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").union(triples.join(start.select(F.col("id").alias("object_id")), "object_id", "left_semi")).distinct()
+    near = triples.join(start.select(F.col("id").alias("subject_id")), "subject_id", "left_semi").unionByName(triples.join(start.select(F.col("id").alias("object_id")), "object_id", "left_semi")).select(*triples.columns).distinct()
     return one, two, near
 
 

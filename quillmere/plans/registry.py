@@ -570,3 +570,6 @@ def event_hours(spark, t):
     """The streaming windows over the events at rest (an extension)."""
     w = incremental.event_windows(t("events"))
     return w.select(F.date_format("window_start", "yyyy-MM-dd HH:mm").alias("hour"), "event_type", "n", F.round("total", 4).alias("total"))
+
+
+from . import registry_more  # noqa: E402, F401  registers its queries
