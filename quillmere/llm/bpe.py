@@ -128,20 +128,23 @@ class Coder:
         return self.bytes[np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - self.start[ids], size)]
 
 
-def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN, ids_col: str = "token_ids", count_col: str = "n_tokens", check_col: str = "round_trip", keep: list[str] | None = None) -> DataFrame:
+def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, pattern: str = PATTERN, ids_col: str = "token_ids", count_col: str = "n_tokens", check_col: str = "round_trip", keep: list[str] | None = None, also: tuple | None = None) -> DataFrame:
     """``keep`` columns (default all but the text) with token ids, their number, and whether decoding gives the text back.
 
     Ids are ranks of the vocabulary, as merges by best rank give them.  The driver reads the
     vocabulary (its size doesn't depend on the data) and ships it with the tasks.  Defined
     results: a null text has null ids, count and check; the empty text has no ids; a long text is encoded whole; rows that repeat get equal
     ids, and of merges that tie in rank the left one comes first; a clash of names gives the new column a number; an empty table gives an empty table.
+
+    ``also`` (name, type, function from a record batch of the ``keep`` columns to an array) adds a column before the ids in the same pass,
+    which saves the caller a second Python worker for each task.
     """
     ranks = read_ranks(path)
     shipped = df.sparkSession.sparkContext.broadcast((serialise(ranks), ranks))
     keep = [c for c in df.columns if c != text_col] if keep is None else keep
     width = len(keep)
     names = list(keep)
-    for c in (ids_col, count_col, check_col):
+    for c in (*([also[0]] if also else []), ids_col, count_col, check_col):
         names.append(free_name(names, c))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,6 +153,7 @@ def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, patter
             coder = coder or Coder(*shipped.value, pattern)
             text = strings(batch.column(width))
             data, off = buffers(text)
+            more = [also[2](pa.RecordBatch.from_arrays(batch.columns[:width], names[:width]))] if also else []
             for i, j in by_bytes(off):
                 part = text.slice(i, j - i)
                 null = part.is_null().to_numpy(zero_copy_only=False)
@@ -166,10 +170,10 @@ def encode(df: DataFrame, text_col: str = "text", path: str = VOCABULARY, patter
                 else:
                     same = np.array([np.array_equal(back[size[r] : size[r + 1]], data[off[i + r] : off[i + r + 1]]) for r in range(j - i)])
                 lists = pa.ListArray.from_arrays(pa.array(stop.astype(np.int32), mask=np.r_[null, False]), pa.array(ids))
-                yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in batch.columns[:width]] + [lists, pa.array(np.diff(stop).astype(np.int32), mask=null), pa.array(same, mask=null)], names)
+                yield pa.RecordBatch.from_arrays([c.slice(i, j - i) for c in (*batch.columns[:width], *more)] + [lists, pa.array(np.diff(stop).astype(np.int32), mask=null), pa.array(same, mask=null)], names)
 
     slim = df.select(*[F.col(quoted(c)) for c in keep], F.col(quoted(text_col)).alias("__qm_text"))
-    added = [T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
+    added = [*([also[1]] if also else []), T.ArrayType(T.IntegerType()), T.IntegerType(), T.BooleanType()]
     schema = T.StructType([T.StructField(f.name, f.dataType) for f in slim.schema.fields[:width]] + [T.StructField(n, t) for n, t in zip(names[width:], added)])
     return slim.mapInArrow(run, schema)
 
