@@ -10,7 +10,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .tables import connected_components
+from .tables import connected_components, stored
 
 
 def cooccurrence(pairs: DataFrame, n_chunks: int | DataFrame, form: str = "pmi", least: int = 2) -> DataFrame:
@@ -243,16 +243,33 @@ def similarity_edges(vectors: DataFrame, threshold: float = 0.6, id_col: str = "
 
 
 def bridge_edges(associations: DataFrame, documents: DataFrame) -> DataFrame:
-    """(a, b, weight 1): chunks of different documents that share an entity; documents has chunk_id, document_name."""
-    p = associations.select("chunk_id", "entity_id").distinct().join(documents.select("chunk_id", "document_name"), "chunk_id")
-    left = p.select("entity_id", F.col("chunk_id").alias("a"), F.col("document_name").alias("da"))
-    right = p.select("entity_id", F.col("chunk_id").alias("b"), F.col("document_name").alias("db"))
-    return left.join(right, "entity_id").filter("a < b AND da <> db").select("a", "b").distinct().withColumn("weight", F.lit(1.0))
+    """(a, b, weight 1): chunks of different documents that share an entity; documents has chunk_id, document_name.
 
-
-def partition(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, algorithm: str = "louvain") -> DataFrame:
-    """(chunk_id, community_id): connected components, or modularity within each of them."""
-    comp = connected_components(nodes.select(F.col("chunk_id").alias("id")), edges.select("a", "b"))
+    Chunks of one document with the same entities are one kind.  Kinds that share an entity are found first, and each pair of
+    kinds then gives its pairs of chunks, so that no pair is formed twice, however many entities it shares.
+    """
+    e = associations.select("chunk_id", "entity_id").join(documents.select("chunk_id", "document_name"), "chunk_id")
+    kinds = e.groupBy("chunk_id", "document_name").agg(F.array_sort(F.collect_set("entity_id")).alias("es"))
+    each = kinds.select("document_name", "es").distinct().withColumn("entity_id", F.explode("es"))
+    x, y = each.select("entity_id", F.col("document_name").alias("da"), F.col("es").alias("ea")), each.select("entity_id", F.col("document_name").alias("db"), F.col("es").alias("eb"))
+    # a pair of kinds is taken at the first entity that both have
+    met = x.join(y, "entity_id").filter((F.col("da") != F.col("db")) & (F.get(F.array_intersect("ea", "eb"), F.lit(0)) == F.col("entity_id"))).select("da", "ea", "db", "eb")
+    left = kinds.select(F.col("document_name").alias("da"), F.col("es").alias("ea"), F.col("chunk_id").alias("a"))
+    right = kinds.select(F.col("document_name").alias("db"), F.col("es").alias("eb"), F.col("chunk_id").alias("b"))
+    return met.join(left, ["da", "ea"]).join(right, ["db", "eb"]).filter("a < b").select("a", "b", F.lit(1.0).alias("weight"))
+
+
+def bridge_stars(associations: DataFrame, documents: DataFrame) -> DataFrame:
+    """(a, b, weight 1) with the connected components of ``bridge_edges``: an entity of several documents ties all its chunks to its least one."""
+    e = associations.select("chunk_id", "entity_id").join(documents.select("chunk_id", "document_name"), "chunk_id")
+    hub = e.groupBy("entity_id").agg(F.min("chunk_id").alias("a"), F.min("document_name").alias("d0"), F.max("document_name").alias("d1")).filter("d0 <> d1")
+    return e.join(hub, "entity_id").filter("chunk_id <> a").select("a", F.col("chunk_id").alias("b")).distinct().withColumn("weight", F.lit(1.0))
+
+
+def partition(nodes: DataFrame, edges: DataFrame, resolution: float = 1.0, algorithm: str = "louvain", comp: DataFrame | None = None) -> DataFrame:
+    """(chunk_id, community_id): connected components (``comp``, if they are known), or modularity within each of them."""
+    if comp is None:
+        comp = connected_components(nodes.select(F.col("chunk_id").alias("id")), edges.select("a", "b"))
     if algorithm == "components":
         return comp.toDF("chunk_id", "community_id")
     kind = nodes.schema["chunk_id"].dataType.simpleString()
@@ -333,8 +350,9 @@ def entity_labels(members: DataFrame, associations: DataFrame, entity_vectors: D
 def community_levels(vectors: DataFrame, texts: DataFrame, edges: DataFrame, levels: Sequence[float], algorithm: str = "louvain") -> tuple[DataFrame, DataFrame]:
     """(chunk_communities, communities) of all levels, finest last."""
     a, b = [], []
+    comp = stored(connected_components(vectors.select(F.col("chunk_id").alias("id")), edges.select("a", "b")), "components")  # the same at all levels
     for level, r in enumerate(levels):
-        p = partition(vectors.select("chunk_id"), edges, r, algorithm)
+        p = partition(vectors.select("chunk_id"), edges, r, algorithm, comp)
         joined = p.join(vectors, "chunk_id").join(texts, "chunk_id")
         found = coherence(joined, "community_id", "embedding").join(term_labels(joined, "community_id", "content", order_col="chunk_id"), "community_id")
         a.append(p.withColumn("level", F.lit(level)))

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions.text import cosine, est_tokens
+from .tables import stored
 
 K1, B = 1.2, 0.75
 #: Query terms, at about 100 bytes each, up to which they are sent to all tasks.
@@ -64,14 +65,14 @@ def batch_vector_search(chunks: DataFrame, queries: DataFrame, k: int, id_col: s
             v = np.array(b["v"].tolist(), float)
             v = v / np.where(n := np.linalg.norm(v, axis=1, keepdims=True), n, 1)
             s = np.round(v @ qm.T, 9)
-            for j in range(len(qi)):
-                take = np.argpartition(-s[:, j], min(2 * k, len(s) - 1))[: 2 * k] if len(s) > 2 * k else np.arange(len(s))
-                edge = s[take, j].min()
-                take = np.flatnonzero(s[:, j] >= edge) if len(s) > 2 * k else take  # with all ties at the edge
-                part = pd.DataFrame({"query_id": qi[j], "id": b["id"].to_numpy()[take], "score": s[take, j]})
-                if skip_self:
-                    part = part[part["id"] != qi[j]]
-                best = part if best is None else pd.concat([best, part])
+            if len(s) > 2 * k:  # the rows at or above the 2k-th score of each query, ties included
+                r, c = np.nonzero(s >= -np.partition(-s, 2 * k - 1, axis=0)[2 * k - 1])
+            else:
+                r, c = (x.ravel() for x in np.indices(s.shape))
+            part = pd.DataFrame({"query_id": np.array(qi, dtype=object)[c] if not isinstance(qi[0], int) else np.array(qi)[c], "id": b["id"].to_numpy()[r], "score": s[r, c]})
+            if skip_self:
+                part = part[part["id"] != part["query_id"]]
+            best = part if best is None else pd.concat([best, part])
             best = best.sort_values(["query_id", "score", "id"], ascending=[True, False, True]).groupby("query_id").head(k)
         if best is not None:
             yield best
@@ -107,16 +108,19 @@ def postings(chunks: DataFrame, id_col: str = "chunk_id", text_col: str = "conte
 def bm25(chunks: DataFrame, queries: DataFrame, k: int | None, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """(query_id, id, score, rank) for queries (query_id, query), best k first; ties by id.
 
-    Only postings of the queries' terms are made: terms are joined before counting, by
-    broadcast up to BROADCAST_TERMS of them, beyond that by a shuffle, and the corpus statistics (N, mean length) are two sums over the same scan.
+    The corpus is read and cut into words once: only postings of the queries' terms are kept, and one row for each
+    text, whose term is empty, for the corpus statistics (N, mean length).  Terms are joined before counting, by
+    broadcast up to BROADCAST_TERMS of them, beyond that by a shuffle.
     """
     base = chunks.select(F.col(id_col).alias("id"), tokens(F.col(text_col)).alias("ts")).filter("ts IS NOT NULL")
-    stats = base.agg(F.count(F.lit(1)).alias("n"), F.avg(F.size("ts")).alias("mean"))
     terms = queries.select("query_id", F.explode(F.array_distinct(tokens(F.col("query")))).alias("token"))
-    wanted = terms.select("token").distinct()
+    wanted = terms.select("token").union(chunks.sparkSession.createDataFrame([("",)], "token string")).distinct()
     small = terms.count() <= BROADCAST_TERMS  # which bounds wanted and df too
     sent = F.broadcast if small else (lambda d: d)
-    hits = base.select("id", F.size("ts").alias("length"), F.explode("ts").alias("token")).join(sent(wanted), "token").groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    found = base.select("id", F.size("ts").alias("length"), F.explode(F.concat(F.array(F.lit("")), "ts")).alias("token")).join(sent(wanted), "token").groupBy("id", "length", "token").agg(F.count(F.lit(1)).alias("tf"))
+    found = stored(found, "postings")
+    stats = found.filter("token = ''").agg(F.count(F.lit(1)).alias("n"), F.avg("length").alias("mean"))
+    hits = found.filter("token <> ''")
     df = hits.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     idf = F.log1p((F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("length") / F.col("mean")))
@@ -311,12 +315,62 @@ def graph_first(queries: DataFrame, triples: DataFrame, associations: DataFrame,
     return by_entities_of(queries.select("query_id", "entity_id").union(one).union(two).distinct(), associations, top).select("query_id", "chunk_id").distinct()
 
 
-def search(chunks: DataFrame, queries: DataFrame, k: int = 10, mode: str = "vector_first", associations: DataFrame | None = None, neighbours: DataFrame | None = None, triples: DataFrame | None = None, query_entities: DataFrame | None = None, lane_least: float | None = None, chunk_filter: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def completed(cohort: DataFrame, chunks: DataFrame, query_entities: DataFrame, k: int, edges: DataFrame | None = None, associations: DataFrame | None = None, entity_vectors: DataFrame | None = None, most: int = 20) -> DataFrame:
+    """The cohort and, for entities of the query that none of its texts mention, up to ``most`` chunks that do, as ``entity_embedding``.
+
+    query_entities has query_id and entity.  Chunks come by the context graph, by entity vectors or by text, whichever is
+    given first; they follow the cohort in the order of their ids, with score 0.
+    """
+    missing = missing_entities(cohort, chunks, query_entities)
+    fill = fill_missing(missing, chunks, edges, associations, entity_vectors, k)
+    new = fill.join(cohort.select("query_id", "chunk_id"), ["query_id", "chunk_id"], "left_anti")
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy("chunk_id"))
+    last = cohort.groupBy("query_id").agg(F.max("rank").alias("last"))
+    new = new.withColumn("n", place).filter(F.col("n") <= most).join(last, "query_id", "left")
+    return cohort.unionByName(new.select("query_id", "chunk_id", F.lit("entity_embedding").alias("provenance"), F.lit(0.0).alias("score"), (F.coalesce("last", F.lit(0)) + F.col("n")).alias("rank")))
+
+
+def with_breadcrumbs(hits: DataFrame) -> DataFrame:
+    """Hits (content, breadcrumb) whose content shows where it stands: the breadcrumb on a line before it, if there is one."""
+    shown = F.when(F.length("breadcrumb") > 0, F.concat("breadcrumb", F.lit("\n"), "content")).otherwise(F.col("content"))
+    return hits.withColumn("content", shown)
+
+
+def community_context(hits: DataFrame, chunk_communities: DataFrame, communities: DataFrame, level: int = 0, most: int = 3, least: float = 0.0) -> DataFrame:
+    """(query_id, community_context): labels of the communities that most of a query's hits belong to, the largest share first."""
+    at = chunk_communities.filter(F.col("level") == level).select("chunk_id", "community_id")
+    named = communities.filter((F.col("level") == level) & (F.col("coherence") >= least) & (F.length("topic_label") > 0)).select("community_id", "topic_label")
+    n = hits.join(at, "chunk_id").join(named, "community_id").groupBy("query_id", "topic_label").agg(F.count(F.lit(1)).alias("n"))
+    top = n.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("n"), "topic_label"))).filter(F.col("r") <= most)
+    return top.groupBy("query_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("r", "topic_label"))), lambda x: x["topic_label"]), "; ").alias("community_context"))
+
+
+def search(
+    chunks: DataFrame,
+    queries: DataFrame,
+    k: int = 10,
+    mode: str = "vector_first",
+    associations: DataFrame | None = None,
+    neighbours: DataFrame | None = None,
+    triples: DataFrame | None = None,
+    query_entities: DataFrame | None = None,
+    lane_least: float | None = None,
+    chunk_filter: Callable[[DataFrame], DataFrame] | None = None,
+    entity_vectors: DataFrame | None = None,
+    query_entity_vectors: DataFrame | None = None,
+    edges: DataFrame | None = None,
+    complete: bool = False,
+) -> DataFrame:
     """The whole search for queries (query_id, query vector, text) as one plan.
 
     chunks has chunk_id, document_name, chunk_index, content, embedding.  vector_first: seeds by hybrid
-    search, expansion by structure, entities and clusters, and greedy selection.  graph_first adds
+    search, expansion by structure, entities, clusters and entity vectors, and greedy selection.  graph_first adds
     chunks within two hops.  global searches community summaries only.
+
+    With ``entity_vectors`` (entity_id, embedding) the entities nearest to the query, or to its own entities' vectors
+    (``query_entity_vectors``: query_id, query), bring their best chunks.  With ``complete``, entities of
+    ``query_entities`` (query_id, entity_id[, entity]) that no selected text mentions bring chunks that do, by the context graph
+    (``edges``), by vectors or by text.
     """
     if mode not in ("vector_first", "graph_first", "global"):
         raise ValueError(f"no such mode: {mode!r}")
@@ -328,14 +382,21 @@ def search(chunks: DataFrame, queries: DataFrame, k: int = 10, mode: str = "vect
     seeds = hybrid(near, words, 3 * k).select("query_id", F.col("id").alias("chunk_id"))
     stages = [("seed", seeds)]
     if mode == "graph_first" and triples is not None and query_entities is not None and associations is not None:
-        stages.append(("entity_adjacent", graph_first(query_entities, triples, associations)))
+        stages.append(("entity_adjacent", graph_first(query_entities.select("query_id", "entity_id"), triples, associations)))
     stages.append(("structural", structural(seeds, chunks)))
     if associations is not None:
         e = by_entities(seeds, associations)
         stages.append(("entity_adjacent", lane(e, chunks, queries, lane_least) if lane_least is not None else e))
         if neighbours is not None:
             stages.append(("cluster_adjacent", by_clusters(seeds, associations, neighbours, 2 * k)))
+        if entity_vectors is not None:
+            asked = query_entity_vectors if query_entity_vectors is not None else queries.select("query_id", "query")
+            found = by_entity_vectors(asked, entity_vectors, associations)
+            stages.append(("entity_embedding", lane(found, chunks, queries, lane_least) if lane_least is not None else found))
     out = select_cohort(pool(stages), chunks, queries, k)
+    if complete and query_entities is not None:
+        entity = F.col("entity") if "entity" in query_entities.columns else F.col("entity_id")
+        out = completed(out, chunks, query_entities.select("query_id", entity.alias("entity")), k, edges, associations, entity_vectors)
     return chunk_filter(out) if chunk_filter else out
 
 

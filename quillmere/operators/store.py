@@ -2,7 +2,8 @@
 
 A table is a folder of snapshot folders and a pointer file that names the current one.  A
 change writes a new snapshot and then moves the pointer, so readers never see half a
-write and the path being read is never overwritten.
+write and the path being read is never overwritten.  Tables that change together have one more
+pointer file, at the root: it moves once for all of them, and counts where it is newer than a table's own.
 """
 
 from __future__ import annotations
@@ -44,29 +45,37 @@ class Snapshots:
         p = self.spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         return p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), p
 
-    def _pointer(self, table: str) -> dict:
-        fs, p = self._fs(f"{self.root}/{table}/_current.json")
+    def _load(self, path: str) -> dict | None:
+        fs, p = self._fs(path)
         if not fs.exists(p):
-            return {"version": 0, "current": None, "pending": None}
+            return None
         stream = fs.open(p)
         try:
             return json.loads(self.spark.sparkContext._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def _point(self, table: str, state: dict) -> None:
-        """Written beside and renamed over the old pointer."""
-        fs, new = self._fs(f"{self.root}/{table}/_new-{uuid.uuid4().hex}.json")
+    def _save(self, folder: str, name: str, state: dict) -> None:
+        """Written beside and renamed over the old file."""
+        fs, new = self._fs(f"{folder}/_new-{uuid.uuid4().hex}.json")
         out = fs.create(new, True)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        _, old = self._fs(f"{self.root}/{table}/_current.json")
+        _, old = self._fs(f"{folder}/{name}")
         sc = self.spark.sparkContext
         hadoop, rename = sc._jvm.org.apache.hadoop.fs, getattr(sc._jvm.org.apache.hadoop.fs, "Options$Rename")
         how = sc._gateway.new_array(rename, 1)
         how[0] = rename.OVERWRITE
         hadoop.FileContext.getFileContext(fs.getUri(), sc._jsc.hadoopConfiguration()).rename(new, old, how)
 
+    def _pointer(self, table: str) -> dict:
+        own = self._load(f"{self.root}/{table}/_current.json") or {"version": 0, "current": None, "pending": None}
+        joint = (self._load(f"{self.root}/_together.json") or {}).get(table)
+        return joint if joint and joint["version"] > own["version"] else own
+
+    def _point(self, table: str, state: dict) -> None:
+        self._save(f"{self.root}/{table}", "_current.json", state)
+
     def read(self, table: str) -> DataFrame:
         """The current snapshot; an empty table of the known schema before the first."""
         now = self._pointer(table)["current"]
@@ -87,6 +96,16 @@ class Snapshots:
         self._point(table, {"version": s["version"] + 1, "current": s["pending"], "pending": None})
         return s["version"] + 1
 
+    def promote_together(self, tables: Sequence[str]) -> None:
+        """Make the staged snapshots of all ``tables`` current at once, by one rename."""
+        states = {t: self._pointer(t) for t in tables}
+        if lacking := [t for t, s in states.items() if s["pending"] is None]:
+            raise ValueError(f"nothing staged for {lacking}")
+        new = {t: {"version": s["version"] + 1, "current": s["pending"], "pending": None} for t, s in states.items()}
+        self._save(self.root, "_together.json", (self._load(f"{self.root}/_together.json") or {}) | new)
+        for t, s in new.items():  # a crash from here on leaves older pointers, which the joint one overrules
+            self._point(t, s)
+
     def discard(self, table: str) -> None:
         self._point(table, self._pointer(table) | {"pending": None})
 

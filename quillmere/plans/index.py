@@ -6,6 +6,7 @@ tables; models (vectors, recognisers, language models) are injected functions.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import re
 from collections.abc import Callable, Mapping, Sequence
@@ -163,14 +164,17 @@ class Index:
             made = embedded(loaders.load_texts(d, "document_name", "content", self.options), "embedding_content", self.embed)
             return made.withColumns({"namespace": F.lit(namespace), "domain_id": F.lit(domain).cast("string"), "chunk_type": F.lit("document")})
 
-        self._replace(*store.sync(chunks, registry, docs, chunker))
+        changed = store.sync_actions(registry, docs).filter("action = 'updated'")
+        self._replace(*store.sync(chunks, registry, docs, chunker), changed)
         return counts
 
-    def _replace(self, chunks: DataFrame, registry: DataFrame) -> None:
+    def _replace(self, chunks: DataFrame, registry: DataFrame, gone: DataFrame) -> None:
+        """New chunks and registry, and without what hung on the old chunks of the documents ``gone`` (document_name), all at once."""
+        lost = self.snapshots.read("embeddings").join(gone.select("document_name"), "document_name", "left_semi").select("chunk_id")
+        self.snapshots.stage("chunk_entities", entities.remove_chunks(self.snapshots.read("chunk_entities"), lost))
         self.snapshots.stage("embeddings", chunks)
         self.snapshots.stage("documents", registry)
-        self.snapshots.promote("embeddings")
-        self.snapshots.promote("documents")
+        self.snapshots.promote_together(("embeddings", "documents", "chunk_entities"))
 
     def add_source(self, settings: dict) -> dict[str, int]:
         """Index a source; documents that can't be read are counted as ``failed`` and skipped."""
@@ -185,7 +189,7 @@ class Index:
         gone = self.spark.createDataFrame([(d,) for d in documents], "document_name string")
         chunks = self.snapshots.read("embeddings")
         n = chunks.join(gone, "document_name", "left_semi").count()
-        self._replace(store.delete_rows(chunks, gone, ["document_name"]), store.delete_rows(self.snapshots.read("documents"), gone, ["document_name"]))
+        self._replace(store.delete_rows(chunks, gone, ["document_name"]), store.delete_rows(self.snapshots.read("documents"), gone, ["document_name"]), gone)
         return n
 
     def remove_domain(self, domain: str) -> None:
@@ -195,20 +199,37 @@ class Index:
         after = store.delete_domains({n: self.snapshots.read(n) for n in names}, gone)
         for n in names:
             self.snapshots.stage(n, after[n])
-        for n in names:
-            self.snapshots.promote(n)
+        self.snapshots.promote_together(names)
+
+    def rebuild(self, matcher: entities.Matcher, levels: Sequence[float] = (0.25, 0.7, 2.0), threshold: float = 0.6, triples: DataFrame | None = None, algorithm: str = "louvain", force: bool = False) -> bool:
+        """Entities, entity clusters, communities and the context graph from the current chunks; whether there was anything to do.
 
-    def rebuild(self, matcher: entities.Matcher, levels: Sequence[float] = (0.25, 0.7, 2.0), threshold: float = 0.6, triples: DataFrame | None = None, algorithm: str = "louvain") -> None:
-        """Entities, entity clusters, communities and the context graph from the current chunks."""
+        Only chunks that the same matcher hasn't seen yet are matched; scores, which hang on the whole corpus, are counted anew.
+        Nothing is done while matcher, settings, chunks and triples are those of the last time, unless forced.
+        """
         chunks = self.snapshots.read("embeddings")
+        told = lambda x: hashlib.sha256(json.dumps(x, sort_keys=True, default=str).encode()).hexdigest()[:16]
+        log = self.snapshots.read("namespace_build_log")
+        done = {r["stage"] for r in log.select("stage").collect()}
+        mine = f"entities {told([sorted(matcher.surfaces.items()), matcher.fold, matcher.distinct_spans])}"
+        content = store.fingerprint(chunks.select(F.concat_ws(":", "chunk_id", F.sha2("content", 256)).alias("chunk_id"))).first()
+        given = None if triples is None else list(store.fingerprint(triples.select(F.concat_ws(":", "subject_id", "verb", "object_id").alias("chunk_id"))).first())
+        whole = f"graph {mine} {told([list(levels), threshold, algorithm, given])} {content['n']} {content['fingerprint']}"
+        if whole in done and not force:
+            return False
         n = chunks.agg(F.count(F.lit(1)).alias("n"))
-        found = entities.score_associations(entities.match_entities(chunks, matcher), n)
+        old = self.snapshots.read("chunk_entities")
+        names = ["chunk_id", "entity_id", "frequency", "positions", "chunk_length"]
+        kept = (old.join(chunks.select("chunk_id"), "chunk_id", "left_semi") if mine in done and not force else old.filter("false")).select(*names)
+        fresh = entities.match_entities(entities.unprocessed(chunks, kept), matcher).select(*names)
+        found = entities.score_associations(kept.unionByName(fresh), n)
         self.snapshots.write("chunk_entities", found.select("chunk_id", "entity_id", "frequency", "positions", "score", "chunk_length"))
         links = self.snapshots.read("chunk_entities")
         scores = stored(clusters.cooccurrence(links, n, "pmi"), "scores")
         self.snapshots.write("entity_clusters", clusters.cluster_entities(links.select("entity_id").distinct(), scores))
         vectors = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding")
-        edges = clusters.similarity_edges(vectors, threshold).unionByName(clusters.bridge_edges(links, chunks)).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+        bridges = clusters.bridge_stars if algorithm == "components" else clusters.bridge_edges
+        edges = clusters.similarity_edges(vectors, threshold).unionByName(bridges(links, chunks)).groupBy("a", "b").agg(F.max("weight").alias("weight"))
         a, b = clusters.community_levels(vectors, chunks.select("chunk_id", "content"), stored(edges, "edges"), levels, algorithm)
         self.snapshots.write("chunk_communities", a)
         self.snapshots.write("communities", b)
@@ -216,32 +237,57 @@ class Index:
         known = triples if triples is not None else self.snapshots.read("svo_triples")
         self.snapshots.write("svo_triples", known)
         self.snapshots.write("context_graph_edges", graph.context_edges(links, self.snapshots.read("chunk_clusters"), self.snapshots.read("svo_triples")))
+        rows = self.spark.createDataFrame([("*", x) for x in (mine, whole)], "namespace_id string, stage string").withColumn("built_at", F.current_timestamp())
+        self.snapshots.write("namespace_build_log", rows)
+        return True
 
-    def search(self, queries: Sequence[str] | DataFrame, k: int = 10, mode: str | None = None, namespaces: Sequence[str] | None = None, domains: Sequence[str] | None = None, **how) -> DataFrame:
-        """(query_id, chunk_id, provenance, score, rank, document_name, content) for texts or a table (query_id, text)."""
+    def search(self, queries: Sequence[str] | DataFrame, k: int = 10, mode: str | None = None, namespaces: Sequence[str] | None = None, domains: Sequence[str] | None = None, matcher: entities.Matcher | None = None, **how) -> DataFrame:
+        """(query_id, chunk_id, provenance, score, rank, document_name, content, breadcrumb) for texts or a table (query_id, text).
+
+        The contents show their breadcrumbs.  A ``matcher`` finds the queries' entities, for graph_first and for
+        ``complete``; entity vectors are those of the rows of type ``entity``, if the store has any.
+        """
         how = self.defaults | how
         asked = queries if isinstance(queries, DataFrame) else self.spark.createDataFrame(list(enumerate(queries)), "query_id int, text string")
         asked = stored(embedded(asked.select("query_id", "text"), "text", self.embed, "query"), "queries")
-        chunks = self.snapshots.read("embeddings").filter(retrieval.filters(namespaces, None, domains))
+        whole = self.snapshots.read("embeddings")
+        rows = whole.filter(retrieval.filters(namespaces, None, domains))
+        chunks = rows.filter("chunk_type IS NULL OR chunk_type <> 'entity'")
         links = self.snapshots.read("chunk_entities").join(chunks.select("chunk_id"), "chunk_id", "left_semi")
         near = clusters.neighbours(self.snapshots.read("entity_clusters"))
+        if matcher is not None and "query_entities" not in how:
+            found = entities.match_entities(asked, matcher, "query_id", "text").select(F.col("chunk_id").cast(asked.schema["query_id"].dataType).alias("query_id"), "entity_id", F.col("display_name").alias("entity"))
+            how["query_entities"] = stored(found, "entities")
         if mode == "graph_first":
             how.setdefault("triples", self.snapshots.read("svo_triples"))
+        named = rows.filter("chunk_type = 'entity'").select(F.expr("substring(chunk_id, length('__entity__') + 1)").alias("entity_id"), "embedding")
+        if "entity_vectors" not in how and not named.isEmpty():
+            how["entity_vectors"] = named
         hits = retrieval.search(chunks, asked, k, mode or "vector_first", associations=links, neighbours=near, chunk_filter=self.chunk_filter, **how)
-        return hits.join(chunks.select("chunk_id", "document_name", "content"), "chunk_id")
+        return retrieval.with_breadcrumbs(hits.join(chunks.select("chunk_id", "document_name", "content", "breadcrumb"), "chunk_id"))
 
-    def ask(self, question: str, llm: Callable[[str], str], k: int = 10, budget: int = 4096, **how) -> Answer:
-        """An answer of the injected model from the chunks that fit the budget."""
+    def ask(self, question: str, llm: Callable[[str], str], k: int = 10, budget: int = 4096, level: int = 0, least: float = 0.0, **how) -> Answer:
+        """An answer of the injected model from the chunks that fit the budget, under the topics of the communities they belong to."""
         hits = self.search([question], k, **how).withColumnRenamed("rank", "position")
         if self.redact is not None:
             redact = F.udf(self.redact, "string")  # a caller's row function, on at most k rows
             hits = hits.withColumn("content", redact("content"))
         hits = stored(hits, "hits")
-        asked = self.spark.createDataFrame([(0, question, None)], "query_id int, text string, community_context string")
+        topics = retrieval.community_context(hits, self.snapshots.read("chunk_communities"), self.snapshots.read("communities"), level, least=least)
+        asked = stored(self.spark.createDataFrame([(0, question)], "query_id int, text string").join(topics, "query_id", "left"), "asked")
         prompt = retrieval.build_prompts(hits, asked, budget).first()["prompt"]
-        used = retrieval.prompt_budget(hits, budget, retrieval.est_tokens(F.lit(f"Query: {question}"))).orderBy("tier", "position")
+        head = asked.select(F.concat_ws("\n", F.concat(F.lit("Context: "), F.nullif("community_context", F.lit(""))), F.concat(F.lit("Query: "), "text")).alias("h")).first()["h"]
+        used = retrieval.prompt_budget(hits, budget, retrieval.est_tokens(F.lit(head))).orderBy("tier", "position")
         return Answer(llm(prompt), prompt, [r["chunk_id"] for r in used.select("chunk_id").collect()])
 
+    def answer_by_communities(self, question: str, llm: Callable[[str, str], tuple[float, str]], level: int = 0, most: int = 20) -> list[str]:
+        """Answers from the summaries of communities, each scored by the model, best first (the global way, map and reduce)."""
+        asked = stored(embedded(self.spark.createDataFrame([(0, question)], "query_id int, text string"), "text", self.embed, "query"), "queries")
+        rows = self.snapshots.read("embeddings").filter("chunk_type = 'community_summary'")
+        near = retrieval.batch_vector_search(rows, asked, most).select("query_id", F.col("id").alias("report_id"))
+        reports = near.join(rows.select(F.col("chunk_id").alias("report_id"), "content"), "report_id").join(asked.select("query_id", "text"), "query_id")
+        return [r["answer"] for r in retrieval.map_reduce_answers(reports, llm).collect()]
+
 
 def build(spark: SparkSession, config: dict, embed: Embed, matcher: entities.Matcher | None = None) -> Index:
     """Index all sources of a configuration (store, sources, chunking, search) and rebuild its graph tables."""

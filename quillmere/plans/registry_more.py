@@ -8,7 +8,7 @@ from ..functions import text as X
 from ..operators import chunking, clusters, entities, graph, retrieval, store
 from ..sources import extract, loaders
 from . import index
-from .registry import _BM25, _ENT, _TRI, _V, SQL, _found, _triples, _words, query, r6
+from .registry import _BM25, _ENT, _TRI, _V, SQL, TERMS, VOCABULARY, _found, _triples, _words, query, r6
 
 # changes of the store
 
@@ -250,6 +250,41 @@ def run_differences(spark, t):
     return got.select("query_id", *[F.array_join(c, " ").alias(c) for c in ("both", "only_a", "only_b")])
 
 
+@query(f"""WITH {_BM25}, hi AS (SELECT query_id, doc_id, rank, lower(text) AS x FROM w JOIN documents USING (doc_id) WHERE rank <= 20), ew AS (SELECT unnest(['the', 'and', 'that', 'with', 'les', 'que', 'der', 'die', 'las', 'nicht', 'idiot', 'clown', 'license']) AS entity),
+ask AS (SELECT DISTINCT query_id, entity FROM q, ew), mi AS (SELECT * FROM ask WHERE NOT EXISTS (SELECT 1 FROM hi WHERE hi.query_id = ask.query_id AND instr(x, entity) > 0)),
+fi AS (SELECT DISTINCT query_id, doc_id FROM mi JOIN documents ON instr(lower(text), entity) > 0 EXCEPT SELECT query_id, doc_id FROM hi), la AS (SELECT query_id, max(rank) AS last FROM hi GROUP BY 1),
+ne AS (SELECT query_id, doc_id, row_number() OVER (PARTITION BY query_id ORDER BY doc_id) AS n FROM fi)
+SELECT query_id, doc_id AS chunk_id, 'seed' AS provenance, rank::INT AS rank FROM hi UNION ALL SELECT query_id, doc_id, 'entity_embedding', (last + n)::INT FROM ne JOIN la USING (query_id) WHERE n <= 5""")
+def completed_cohort(spark, t):
+    """The twenty best documents and five more that mention what they lack."""
+    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("text").alias("content"))
+    cohort = _words(spark, t, 20).select("query_id", F.col("id").alias("chunk_id"), F.lit("seed").alias("provenance"), "score", "rank")
+    asked = spark.createDataFrame([(i, w) for i, _ in TERMS for w in VOCABULARY], "query_id int, entity string")
+    return retrieval.completed(cohort, d, asked, 20, most=5).select("query_id", "chunk_id", "provenance", F.col("rank").cast("int").alias("rank"))
+
+
+@query(f"""WITH {_BM25}, n AS (SELECT query_id, 'topic ' || source AS topic, count(*) AS n FROM w JOIN documents USING (doc_id) WHERE rank <= 20 AND source <> 'src1' GROUP BY ALL), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY n DESC, topic) AS r FROM n)
+SELECT query_id, string_agg(topic, '; ' ORDER BY r) AS community_context FROM r WHERE r <= 3 GROUP BY query_id""")
+def community_topics(spark, t):
+    """Sources stand for communities, of which one isn't coherent."""
+    d = t("documents").select(F.col("doc_id").alias("chunk_id"), F.col("source").alias("community_id"), F.lit(0).alias("level"))
+    c = d.select("community_id", "level").distinct().select("*", F.concat(F.lit("topic "), "community_id").alias("topic_label"), F.when(F.col("community_id") == "src1", 0.1).otherwise(0.5).alias("coherence"))
+    return retrieval.community_context(_words(spark, t, 20).select("query_id", F.col("id").alias("chunk_id")), d, c, 0, 3, 0.2)
+
+
+@query("SELECT doc_id, CASE WHEN lang = 'en' THEN '[' || source || ']' || chr(10) ELSE '' END || text AS content FROM documents")
+def shown_breadcrumbs(spark, t):
+    d = t("documents").select("doc_id", F.col("text").alias("content"), F.when(F.col("lang") == "en", F.concat(F.lit("["), "source", F.lit("]"))).when(F.col("lang") == "de", "").alias("breadcrumb"))
+    return retrieval.with_breadcrumbs(d).select("doc_id", "content")
+
+
+@query(f"WITH {_ENT}, s AS (SELECT entity_id, min(doc_id::VARCHAR) AS a, count(DISTINCT lang) AS n FROM en JOIN documents USING (doc_id) GROUP BY 1) SELECT DISTINCT a, doc_id::VARCHAR AS b FROM s JOIN en USING (entity_id) WHERE n > 1 AND doc_id::VARCHAR <> a")
+def bridge_stars(spark, t):
+    """Documents stand for chunks and their language for the document."""
+    got = clusters.bridge_stars(_found(t), t("documents").select(F.col("doc_id").cast("string").alias("chunk_id"), F.col("lang").alias("document_name")))
+    return got.select("a", "b")
+
+
 # entities of several words, that overlap and vary in case
 
 _PHRASES = [

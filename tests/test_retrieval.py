@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.operators import retrieval as R
 
@@ -108,3 +109,19 @@ def test_ndcg_and_run_diff(spark):
     assert {r["query_id"]: r["ndcg"] for r in R.ndcg(d, 10).collect()} == {0: pytest.approx(1 / math.log2(3)), 1: 0.0}
     a, b = (spark.createDataFrame([(0, x) for x in s], "query_id int, chunk_id string") for s in ("ab", "bc"))
     assert tuple(R.run_diff(a, b).first()) == (0, ["b"], ["a"], ["c"])
+
+
+def test_search_expands_by_entity_vectors_and_completes(spark):
+    rows = [(f"c{i}", "d", i, f"text {i}" + (" zeta" if i == 9 else ""), [1.0, i / 10]) for i in range(10)]
+    chunks = spark.createDataFrame(rows, "chunk_id string, document_name string, chunk_index int, content string, embedding array<double>").withColumn("chunk_type", F.lit("document"))
+    asked = spark.createDataFrame([(0, "text", [1.0, 0.0])], "query_id int, text string, query array<double>")
+    links = spark.createDataFrame([("c8", "e", 1.0)], "chunk_id string, entity_id string, score double")
+    vectors = spark.createDataFrame([("e", [1.0, 0.0])], "entity_id string, embedding array<double>")
+    entity = spark.createDataFrame([(0, "zeta")], "query_id int, entity_id string")
+    plain = R.search(chunks, asked, 1)
+    assert {r["chunk_id"] for r in plain.collect()} == {"c0"}
+    pooled = {r["chunk_id"] for r in R.search(chunks, asked, 10, associations=links, entity_vectors=vectors).filter("provenance = 'entity_embedding' OR chunk_id = 'c8'").collect()}
+    assert pooled == {"c8"}
+    done = R.search(chunks, asked, 1, query_entities=entity, complete=True).orderBy("rank").collect()
+    assert [(r["chunk_id"], r["provenance"], r["rank"]) for r in done] == [("c0", "seed", 1), ("c9", "entity_embedding", 2)]
+    assert [r["chunk_id"] for r in R.search(chunks, asked, 1, query_entities=spark.createDataFrame([(0, "text")], "query_id int, entity_id string"), complete=True).collect()] == ["c0"]

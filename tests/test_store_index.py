@@ -145,3 +145,53 @@ def test_event_windows(spark, tmp_path, sf_dir):
     q = incremental.event_windows(stream).writeStream.format("memory").queryName("windows").outputMode("complete").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "ck")).start()
     q.awaitTermination()
     assert spark.table("windows").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_tables_change_together(spark, tmp_path):
+    """A crash between the joint pointer and the tables' own leaves both tables at the new state."""
+    s = S.Snapshots(spark, f"file://{tmp_path}/store")
+    row = lambda n: spark.createDataFrame([(n, None, None, None)], S.SCHEMAS["sources"])
+    names = spark.createDataFrame([("n", "x")], S.SCHEMAS["namespaces"])
+    s.write("sources", row("old"))
+    s.stage("sources", row("new"))
+    with pytest.raises(ValueError):
+        s.promote_together(["sources", "namespaces"])
+    s.stage("namespaces", names)
+    point, s._point = s._point, lambda t, x: None
+    s.promote_together(["sources", "namespaces"])
+    s._point = point
+    assert s.read("sources").first()["source_id"] == "new" and s.read("namespaces").count() == 1 and s.version("sources") == 2
+    assert s.vacuum("sources") == 1 and s.read("sources").first()["source_id"] == "new"
+    s.write("sources", row("newer"))
+    assert s.read("sources").first()["source_id"] == "newer" and s.version("sources") == 3
+
+
+def test_rebuild_does_what_is_new(index, spark, monkeypatch):
+    matcher = entities.Matcher.vocabulary([entities.Entity("alpha", "alpha", "Alpha"), entities.Entity("zeta", "zeta", "Zeta")])
+    rebuild = lambda **how: index.rebuild(matcher, levels=(1.0,), algorithm="components", **how)
+    assert rebuild() and not rebuild()
+    index.add(spark.createDataFrame([("fresh", "A zeta text.")], "document_name string, content string"))
+    seen = []
+    match = I.entities.match_entities
+    monkeypatch.setattr(I.entities, "match_entities", lambda chunks, m: seen.append(chunks.count()) or match(chunks, m))
+    total = index.snapshots.read("embeddings").count()
+    assert rebuild() and 1 <= seen[0] < total
+    links = index.snapshots.read("chunk_entities")
+    assert links.filter("entity_id = 'zeta'").count() == 1
+    whole = {(r["chunk_id"], r["entity_id"], round(r["score"], 9)) for r in links.collect()}
+    assert rebuild(force=True) and seen[1] == total
+    assert {(r["chunk_id"], r["entity_id"], round(r["score"], 9)) for r in index.snapshots.read("chunk_entities").collect()} == whole
+    # a document that changes loses its old associations at once
+    index.add(spark.createDataFrame([("fresh", "A zeta text no more, but much longer.")], "document_name string, content string"))
+    assert index.snapshots.read("chunk_entities").filter("entity_id = 'zeta'").count() == 0
+    assert rebuild() and index.snapshots.read("chunk_entities").filter("entity_id = 'zeta'").count() == 1
+    index.remove(["fresh"])
+
+
+def test_search_uses_entities_and_asks_with_topics(index):
+    matcher = entities.Matcher.vocabulary([entities.Entity("beta", "beta pump", "beta pump")])
+    hits = index.search(["What uses the beta pump?"], 3, matcher=matcher, complete=True).collect()
+    assert any("beta pump" in r["content"] for r in hits)
+    assert all(r["content"].startswith(r["breadcrumb"]) for r in hits if r["breadcrumb"])
+    a = index.ask("What uses the beta pump?", lambda p: "x", 3)
+    assert a.prompt.index("Query: What uses") < a.prompt.index("[") or a.prompt.startswith("Context: ")
