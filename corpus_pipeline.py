@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F, types as T
 
 from quillmere.llm import bpe, mixing
 from quillmere.llm.exact_dedup import exact_dedup
@@ -20,14 +20,14 @@ from quillmere.llm.simhash import near_dedup
 EPOCHS_BYTES = 8 << 20
 
 
-def _epochs(shipped):
-    """UDF (source, place): how often the source had begun again at that place."""
+def _epochs(shipped, source: str, order: str):
+    """Function of a batch: how often each row's source had begun again at its place."""
 
-    @F.arrow_udf("int")
-    def epochs(source: pa.Array, place: pa.Array) -> pa.Array:
-        names, at = source.dictionary_encode(), place.to_numpy()
-        code, out = names.indices.to_numpy(), np.zeros(len(at), np.int32)
-        for i, s in enumerate(names.dictionary.to_pylist()):
+    def epochs(batch: pa.RecordBatch) -> pa.Array:
+        names, at = batch.column(source).dictionary_encode(), batch.column(order).to_numpy()
+        code, out = names.indices.fill_null(-1).to_numpy(), np.zeros(len(at), np.int32)
+        for i in np.unique(code):
+            s = "" if i < 0 else f"={names.dictionary[int(i)].as_py()}"
             mine = code == i
             out[mine] = np.maximum(np.searchsorted(shipped.value.get(s, at[:0]), at[mine], "right") - 1, 0)
         return pa.array(out)
@@ -104,11 +104,11 @@ def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
         held: dict = {}
         for r in begins.collect():
             held.setdefault(r[0], []).append(r[1])
-        count, ordered = _epochs(spark.sparkContext.broadcast({s: np.sort(x) for s, x in held.items()}))(source, order), placed
-    else:
-        begins = begins.groupBy("s").agg(F.sort_array(F.collect_list(order)).alias(marks))
-        count, ordered = F.greatest(F.size(F.filter(marks, lambda x: x <= F.col(order))) - 1, F.lit(0)), placed.join(begins, F.col(source) == F.col("s"), "left")
-    return bpe.encode(ordered.select(*kept, F.col(order), count.alias(epoch)))
+        shipped = spark.sparkContext.broadcast({s: np.sort(x) for s, x in held.items()})
+        return bpe.encode(placed.select(*kept, order), also=(epoch, T.IntegerType(), _epochs(shipped, "source", order)))
+    begins = begins.groupBy("s").agg(F.sort_array(F.collect_list(order)).alias(marks))
+    count = F.greatest(F.size(F.filter(marks, lambda x: x <= F.col(order))) - 1, F.lit(0))
+    return bpe.encode(placed.join(begins, F.col(source) == F.col("s"), "left").select(*kept, order, count.alias(epoch)))
 
 
 STAGES = [
