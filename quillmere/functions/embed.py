@@ -46,3 +46,10 @@ def embedded(df: DataFrame, text_col: str, embed: Embed, out_col: str = "embeddi
             yield pd.Series(out, dtype=object)
 
     return df.withColumn(out_col, run(F.col(text_col)))
+
+
+def heading_vectors(df: DataFrame, crumb_col: str, embed: Embed, out_col: str = "heading") -> DataFrame:
+    """``df`` with vectors of its breadcrumbs; a blank or null one has the zero vector."""
+    blank = F.length(F.trim(F.coalesce(F.col(crumb_col), F.lit("")))) == 0
+    made = embedded(df.withColumn("__crumb", F.coalesce(F.col(crumb_col), F.lit(""))), "__crumb", embed, out_col).drop("__crumb")
+    return made.withColumn(out_col, F.when(blank, F.transform(out_col, lambda x: F.lit(0.0).cast("float"))).otherwise(F.col(out_col)))

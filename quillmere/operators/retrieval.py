@@ -5,7 +5,7 @@ All operators take a ``query_id`` where it makes sense, so that many queries are
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
@@ -485,6 +485,41 @@ def ndcg(ranked: DataFrame, k: int) -> DataFrame:
     return d.select("query_id", F.when(F.col("idcg") > 0, F.col("dcg") / F.col("idcg")).otherwise(0.0).alias("ndcg"))
 
 
+#: First line of a chunk that goes on from another, and how a finished text ends.
+CONTINUED, FINISHED = r"(?i)^\[(TABLE|LIST|PARA):(cont|start|end)\]", r"[.?!\"')\]>}\d]\s*$"
+
+
+def quality_measures(hits: DataFrame, k: int, weights: Mapping[str, float] | None = None) -> DataFrame:
+    """(query_id, ndcg, coherence, scope, efficiency, rqi) of hits (query_id, rank, content, relevance, distractor) up to rank k.
+
+    coherence: share of k chunks that are whole, neither marked as a continuation nor ended in mid-sentence; scope: 1 less the
+    discounted places of distractors, 0 at least; efficiency: share of words in relevant chunks; rqi: their mean by weight.
+    """
+    first = hits.filter(F.col("rank") <= k)
+    text = F.trim(F.regexp_replace("content", r"^\s+|\s+$", ""))
+    prose = F.filter(F.transform(F.split(text, "\n"), lambda x: F.regexp_replace(x, r"^\s+|\s+$", "")), lambda x: (x != "") & ~x.startswith("["))
+    last = F.try_element_at(prose, F.lit(-1))
+    whole = ~text.rlike(CONTINUED) & (last.isNull() | last.rlike(FINISHED))
+    words = F.size(F.filter(F.split("content", r"\s+"), lambda w: w != ""))
+    per = first.groupBy("query_id").agg(
+        F.sum(F.when(whole, 1).otherwise(0)).alias("whole"),
+        F.sum(F.when(F.col("distractor"), 1 / F.log2(F.col("rank") + 1)).otherwise(0.0)).alias("far"),
+        F.sum(F.when(F.col("relevance") > 0, words).otherwise(0)).alias("used"),
+        F.sum(words).alias("words"),
+    )
+    # the best order is that of the hits up to k, as they were found
+    joined = per.join(ndcg(first, k), "query_id")
+    out = joined.select("query_id", "ndcg", (F.col("whole") / k).alias("coherence"), F.greatest(F.lit(0.0), 1 - F.col("far")).alias("scope"), F.when(F.col("words") > 0, F.col("used") / F.col("words")).otherwise(0.0).alias("efficiency"))
+    w = weights or {"ndcg": 1, "coherence": 1, "scope": 1, "efficiency": 1}
+    return out.withColumn("rqi", sum((F.col(c) * x for c, x in w.items()), F.lit(0.0)) / sum(w.values()))
+
+
+def rqi(measures: DataFrame, category_weights: Mapping[str, float]) -> DataFrame:
+    """One row (rqi) from (category, rqi) of queries: the weighted sum of the categories' means; absent categories count nothing."""
+    w = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for kv in category_weights.items() for x in kv]), F.col("category")), F.lit(0.0))
+    return measures.groupBy("category").agg(F.avg("rqi").alias("m")).agg(F.coalesce(F.sum(w * F.col("m")), F.lit(0.0)).alias("rqi"))
+
+
 def run_diff(a: DataFrame, b: DataFrame) -> DataFrame:
     """(query_id, both, only_a, only_b) of two runs' chunk ids."""
     x = a.groupBy("query_id").agg(F.collect_set("chunk_id").alias("x"))

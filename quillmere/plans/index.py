@@ -9,12 +9,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import threading
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass, field
 
+from pyspark import InheritableThread
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
-from ..functions.embed import Embed, embedded
+from ..functions.embed import Embed, embedded, heading_vectors
 from ..operators import chunking, clusters, entities, graph, retrieval, store
 from ..operators.tables import stored
 from ..sources import extract, loaders
@@ -35,7 +37,7 @@ def source(name: str):
 @source("directory")
 @source("glob")
 def _files(spark: SparkSession, s: dict) -> DataFrame:
-    files = extract.read_files(spark, s["path"], s.get("glob")) if s.get("glob") else loaders.crawl_folder(spark, s["path"], s.get("extensions", ()), s.get("exclude", ()), s.get("max_files", 1000))
+    files = extract.read_files(spark, s["path"], s.get("glob")) if s.get("glob") else loaders.crawl_folder(spark, s["path"], s.get("extensions", ()), s.get("exclude", ()), s.get("max_files"))
     done = extract.extract_documents(files, s.get("kind"), s.get("options"))
     return done.select(F.col("path").alias("document_name"), F.col("text").alias("content"), "error")
 
@@ -88,6 +90,17 @@ def route(question: str, described: Mapping[str, str], llm: Callable[[str], str]
     return chosen or None
 
 
+def decompose(question: str, llm: Callable[[str], str], most: int = 4) -> list[str]:
+    """The question and up to ``most`` simpler ones that a model finds in it; the question alone if the answer isn't a JSON list."""
+    said = llm(f"Question: {question}\nAnswer with a JSON list of at most {most} simpler questions whose answers together answer it.")
+    try:
+        parts = json.loads(re.sub(r"^\s*```\w*|```\s*$", "", said or ""))
+    except ValueError:
+        parts = []
+    found = [p.strip() for p in parts if isinstance(p, str) and p.strip()] if isinstance(parts, list) else []
+    return list(dict.fromkeys([question, *found[:most]]))
+
+
 def merged(hits: Sequence[DataFrame], k: int) -> DataFrame:
     """The best k of several stores' hits (query_id, chunk_id, score), with the store's number; scores are compared as they are."""
     out = None
@@ -201,7 +214,7 @@ class Index:
             self.snapshots.stage(n, after[n])
         self.snapshots.promote_together(names)
 
-    def rebuild(self, matcher: entities.Matcher, levels: Sequence[float] = (0.25, 0.7, 2.0), threshold: float = 0.6, triples: DataFrame | None = None, algorithm: str = "louvain", force: bool = False) -> bool:
+    def rebuild(self, matcher: entities.Matcher, levels: Sequence[float] = (0.25, 0.7, 2.0), threshold: float = 0.6, triples: DataFrame | None = None, algorithm: str = "louvain", heading_weight: float = 0.2, force: bool = False) -> bool:
         """Entities, entity clusters, communities and the context graph from the current chunks; whether there was anything to do.
 
         Only chunks that the same matcher hasn't seen yet are matched; scores, which hang on the whole corpus, are counted anew.
@@ -214,7 +227,7 @@ class Index:
         mine = f"entities {told([sorted(matcher.surfaces.items()), matcher.fold, matcher.distinct_spans])}"
         content = store.fingerprint(chunks.select(F.concat_ws(":", "chunk_id", F.sha2("content", 256)).alias("chunk_id"))).first()
         given = None if triples is None else list(store.fingerprint(triples.select(F.concat_ws(":", "subject_id", "verb", "object_id").alias("chunk_id"))).first())
-        whole = f"graph {mine} {told([list(levels), threshold, algorithm, given])} {content['n']} {content['fingerprint']}"
+        whole = f"graph {mine} {told([list(levels), threshold, algorithm, heading_weight, given])} {content['n']} {content['fingerprint']}"
         if whole in done and not force:
             return False
         n = chunks.agg(F.count(F.lit(1)).alias("n"))
@@ -227,7 +240,8 @@ class Index:
         links = self.snapshots.read("chunk_entities")
         scores = stored(clusters.cooccurrence(links, n, "pmi"), "scores")
         self.snapshots.write("entity_clusters", clusters.cluster_entities(links.select("entity_id").distinct(), scores))
-        vectors = chunks.filter("embedding IS NOT NULL").select("chunk_id", "embedding")
+        headed = heading_vectors(chunks.filter("embedding IS NOT NULL").select("chunk_id", "breadcrumb", "embedding"), "breadcrumb", self.embed)
+        vectors = stored(headed.select("chunk_id", clusters.working_vector(F.col("embedding"), F.col("heading"), heading_weight).alias("embedding")), "vectors")
         bridges = clusters.bridge_stars if algorithm == "components" else clusters.bridge_edges
         edges = clusters.similarity_edges(vectors, threshold).unionByName(bridges(links, chunks)).groupBy("a", "b").agg(F.max("weight").alias("weight"))
         a, b = clusters.community_levels(vectors, chunks.select("chunk_id", "content"), stored(edges, "edges"), levels, algorithm)
@@ -289,6 +303,57 @@ class Index:
         return [r["answer"] for r in retrieval.map_reduce_answers(reports, llm).collect()]
 
 
+@dataclass
+class Indexer:
+    """Indexing of several sources that reports its progress and can be stopped between sources; what is indexed stays.
+
+    on_progress gets (phase, done, total), on_error (phase, exception) of a source that failed and is skipped, on_complete or
+    on_abort the number of documents added or updated.
+    """
+
+    index: Index
+    on_progress: Callable[[str, int, int], None] = lambda *_: None
+    on_complete: Callable[[int], None] = lambda *_: None
+    on_error: Callable[[str, Exception], None] = lambda *_: None
+    on_abort: Callable[[int], None] = lambda *_: None
+    stop: threading.Event = field(default_factory=threading.Event)
+
+    def abort(self) -> None:
+        self.stop.set()
+
+    def run(self, sources: Sequence[dict], rebuild: Callable[[Index], object] | None = None) -> int:
+        """Index the sources in turn, then rebuild: dispatching, draining and building in one job."""
+        n = 0
+        for i, s in enumerate(sources):
+            if self.stop.is_set():
+                self.on_abort(n)
+                return n
+            self.on_progress("source", i, len(sources))
+            try:
+                counts = self.index.add_source(s)
+                n += counts.get("added", 0) + counts.get("updated", 0)
+                if counts.get("failed"):
+                    self.on_error("extract", ValueError(f"{counts['failed']} documents of source {i} can't be read"))
+            except Exception as e:  # one source that fails doesn't end the others
+                self.on_error("source", e)
+        self.on_progress("source", len(sources), len(sources))
+        if rebuild is not None and not self.stop.is_set():
+            try:
+                rebuild(self.index)
+                self.on_progress("rebuild", 1, 1)
+            except Exception as e:
+                self.on_error("rebuild", e)
+        (self.on_abort if self.stop.is_set() else self.on_complete)(n)
+        return n
+
+    def start(self, sources: Sequence[dict], rebuild: Callable[[Index], object] | None = None) -> threading.Thread:
+        """``run`` in a thread of its own, with the caller's Spark settings; readers see the old snapshots until it is done."""
+        self.stop.clear()
+        thread = InheritableThread(target=self.run, args=(sources, rebuild), daemon=True)
+        thread.start()
+        return thread
+
+
 def build(spark: SparkSession, config: dict, embed: Embed, matcher: entities.Matcher | None = None) -> Index:
     """Index all sources of a configuration (store, sources, chunking, search) and rebuild its graph tables."""
     options = chunking.Options(**config.get("chunking", {}))

@@ -14,6 +14,8 @@ from ..operators import chunking, clusters, entities, graph, retrieval, store
 from ..sources import extract, loaders
 from ..streaming import incremental
 
+#: Tables of texts, whose queries are bound by CPU.
+TEXTS = ("documents", "pages", "conversations")
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
 
@@ -23,7 +25,7 @@ def query(sql: str | None = None):
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, lambda name: loaders.read_table(spark, f"{sf_dir}/{name}.parquet"))
+            return f(spark, lambda name: loaders.read_table(spark, f"{sf_dir}/{name}.parquet", name in TEXTS))
 
         QUERIES[f.__name__] = run
         if sql:

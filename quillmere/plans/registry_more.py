@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Window, functions as F
 
-from ..functions import text as X
+from ..functions import embed, text as X
 from ..operators import chunking, clusters, entities, graph, retrieval, store
 from ..sources import extract, loaders
 from . import index
@@ -285,6 +285,41 @@ def bridge_stars(spark, t):
     return got.select("a", "b")
 
 
+_HITS = """h AS (SELECT source AS query_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, text AS content, quality + toxic AS rel, toxic = 1 AS distractor FROM documents JOIN labels USING (doc_id)), f AS (SELECT * FROM h WHERE rank <= 10),
+x AS (SELECT *, regexp_replace(content, '^\\s+|\\s+$', '', 'g') AS t, list_filter(list_transform(string_split(regexp_replace(content, '^\\s+|\\s+$', '', 'g'), chr(10)), lambda l: regexp_replace(l, '^\\s+|\\s+$', '', 'g')), lambda l: l <> '' AND NOT starts_with(l, '[')) AS ls, len(list_filter(regexp_split_to_array(content, '\\s+'), lambda w: w <> '')) AS n FROM f),
+y AS (SELECT *, NOT regexp_matches(t, '(?i)^\\[(TABLE|LIST|PARA):(cont|start|end)\\]') AND (len(ls) = 0 OR regexp_matches(ls[-1], '[.?!"''\\)\\]>}\\d]\\s*$')) AS whole, row_number() OVER (PARTITION BY query_id ORDER BY rel DESC, rank) AS best FROM x),
+m AS (SELECT query_id, sum(rel / log2(rank + 1)) AS dcg, sum(rel / log2(best + 1)) AS idcg, count(*) FILTER (WHERE whole) / 10.0 AS coherence, greatest(0, 1 - coalesce(sum(1 / log2(rank + 1)) FILTER (WHERE distractor), 0)) AS scope, coalesce(sum(n) FILTER (WHERE rel > 0), 0)::DOUBLE / sum(n) AS efficiency FROM y GROUP BY 1),
+q AS (SELECT query_id, CASE WHEN idcg > 0 THEN dcg / idcg ELSE 0 END AS ndcg, coherence::DOUBLE AS coherence, scope, efficiency FROM m), z AS (SELECT *, (0.4 * ndcg + 0.2 * coherence + 0.2 * scope + 0.2 * efficiency) AS rqi FROM q)"""
+
+
+def _measures(t):
+    d = t("documents").join(t("labels"), "doc_id")
+    rank = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    hits = d.select(F.col("source").alias("query_id"), rank.alias("rank"), F.col("text").alias("content"), (F.col("quality") + F.col("toxic")).alias("relevance"), (F.col("toxic") == 1).alias("distractor"))
+    return retrieval.quality_measures(hits, 10, {"ndcg": 0.4, "coherence": 0.2, "scope": 0.2, "efficiency": 0.2})
+
+
+@query(f"WITH {_HITS} SELECT query_id, round(ndcg, 6) + 0.0 AS ndcg, round(coherence, 6) + 0.0 AS coherence, round(scope, 6) + 0.0 AS scope, round(efficiency, 6) + 0.0 AS efficiency, round(rqi, 6) + 0.0 AS rqi FROM z")
+def retrieval_measures(spark, t):
+    """Labelled documents as the hits of their source, toxic ones as distractors."""
+    return _measures(t).select("query_id", *[r6(c).alias(c) for c in ("ndcg", "coherence", "scope", "efficiency", "rqi")])
+
+
+@query(f"WITH {_HITS}, c AS (SELECT CASE WHEN query_id IN ('src0', 'src1', 'src2') THEN 'head' WHEN query_id = 'src3' THEN 'rare' ELSE 'tail' END AS category, avg(rqi) AS m FROM z GROUP BY 1) SELECT round(sum(CASE category WHEN 'head' THEN 0.7 WHEN 'tail' THEN 0.3 ELSE 0 END * m), 6) AS rqi FROM c")
+def overall_quality(spark, t):
+    """The measure over categories of queries by their weights."""
+    kind = F.when(F.col("query_id").isin("src0", "src1", "src2"), "head").when(F.col("query_id") == "src3", "rare").otherwise("tail")
+    return retrieval.rqi(_measures(t).withColumn("category", kind), {"head": 0.7, "tail": 0.3, "none": 1.0}).select(F.round("rqi", 6).alias("rqi"))
+
+
+@query("SELECT p_partkey, CASE WHEN p_size > 25 THEN length(p_name)::DOUBLE ELSE 0 END AS first, CASE WHEN p_size > 25 THEN 1.0::DOUBLE ELSE 0 END AS second FROM part")
+def heading_vectors(spark, t):
+    """A function that counts characters stands for a model; half of the parts have no heading."""
+    crumbs = t("part").select("p_partkey", F.when(F.col("p_size") > 25, F.col("p_name")).when(F.col("p_size") > 10, " ").alias("crumb"))
+    v = embed.heading_vectors(crumbs, "crumb", lambda texts: [[len(x), 1.0] for x in texts])
+    return v.select("p_partkey", F.col("heading")[0].cast("double").alias("first"), F.col("heading")[1].cast("double").alias("second"))
+
+
 # entities of several words, that overlap and vary in case
 
 _PHRASES = [

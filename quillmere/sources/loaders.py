@@ -320,8 +320,8 @@ def crawl(pages: DataFrame, roots: DataFrame, max_depth: int = 3, max_pages: int
     return out if max_pages is None else out.orderBy("depth", "url").limit(max_pages)
 
 
-def crawl_folder(spark: SparkSession, root: str, extensions: Sequence[str] = (), exclude: Sequence[str] = (), max_files: int | None = 1000) -> DataFrame:
-    """(path, modificationTime, length, content) of the files under a folder: without dot folders and excluded ones, sorted, at most ``max_files``."""
+def crawl_folder(spark: SparkSession, root: str, extensions: Sequence[str] = (), exclude: Sequence[str] = (), max_files: int | None = None) -> DataFrame:
+    """(path, modificationTime, length, content) of the files under a folder: without dot folders and excluded ones; with ``max_files`` the first of them by path."""
     files = extract.read_files(spark, root)
     rest = F.expr("substring(path, locate('" + root.rstrip("/").removeprefix("file:").replace("'", "''") + "', path) + " + str(len(root.rstrip("/").removeprefix("file:"))) + ")")
     ok = ~rest.rlike(r"/\.[^/]+/")
@@ -329,8 +329,8 @@ def crawl_folder(spark: SparkSession, root: str, extensions: Sequence[str] = (),
         ok = ok & ~rest.contains(f"/{e}/")
     if extensions:
         ok = ok & F.lower(F.regexp_extract("path", r"\.([^./]*)$", 1)).isin(*[e.lower().lstrip(".") for e in extensions])
-    files = files.filter(ok).orderBy("path")
-    return files if max_files is None else files.limit(max_files)
+    files = files.filter(ok)
+    return files if max_files is None else files.orderBy("path").limit(max_files)
 
 
 def module_imports(source: str, path: str) -> list[str]:
@@ -389,19 +389,16 @@ def import_closure(edges: DataFrame, roots: DataFrame, max_depth: int = 3) -> Da
 # loading into chunks
 
 
-def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A parquet table; one whose files have fewer row groups than there are cores is spread over them.
+def read_table(spark: SparkSession, path: str, spread: bool = False) -> DataFrame:
+    """A parquet table; with ``spread`` one that has fewer partitions than there are cores is shuffled over them.
 
-    Work on texts is bound by CPU, and a single row group is a single task.  Tables of a
-    cluster's size have many more row groups than cores and are read as they are.
+    Work on texts is bound by CPU, and a file of one row group is one task; tables of a cluster's size have more partitions than
+    cores and are read as they are.
     """
     df = spark.read.parquet(path)
-    files = df.inputFiles()
     cores = spark.sparkContext.defaultParallelism
-    if len(files) >= cores:
-        return df
-    with_text = any(f.dataType.simpleString() == "string" and f.name in ("text", "html", "content") for f in df.schema.fields)
-    return df.repartition(cores) if with_text and df.rdd.getNumPartitions() < cores else df
+    return df.repartition(cores) if spread and len(df.inputFiles()) < cores and df.rdd.getNumPartitions() < cores else df
+
 
 def load_texts(df: DataFrame, name_col: str, text_col: str, options: chunking.Options = chunking.Options()) -> DataFrame:
     """Enriched chunks with ids of a table of texts."""

@@ -195,3 +195,21 @@ def test_search_uses_entities_and_asks_with_topics(index):
     assert all(r["content"].startswith(r["breadcrumb"]) for r in hits if r["breadcrumb"])
     a = index.ask("What uses the beta pump?", lambda p: "x", 3)
     assert a.prompt.index("Query: What uses") < a.prompt.index("[") or a.prompt.startswith("Context: ")
+
+
+def test_indexer_reports_and_stops(index, spark, tmp_path):
+    spark.createDataFrame([("t1", "One text."), ("t2", "Two text.")], "n string, c string").write.parquet(f"{tmp_path}/t.parquet")
+    good = {"type": "table", "path": f"{tmp_path}/t.parquet", "name_col": "n", "content_col": "c"}
+    told = []
+    run = I.Indexer(index, lambda *x: told.append(x), lambda n: told.append(("done", n)), lambda p, e: told.append((p, type(e).__name__)), lambda n: told.append(("aborted", n)))
+    run.start([{"type": "odd"}, good], lambda i: told.append("rebuilt")).join()
+    assert told == [("source", 0, 2), ("source", "ValueError"), ("source", 1, 2), ("source", 2, 2), "rebuilt", ("rebuild", 1, 1), ("done", 2)]
+    told.clear()
+    run.abort()
+    assert run.run([good]) == 0 and told == [("aborted", 0)]
+    assert index.remove(["t1", "t2"]) == 2
+
+
+def test_questions_are_taken_apart():
+    assert I.decompose("q", lambda p: '```json\n["a", "b", "q", 3, " "]\n```') == ["q", "a", "b"]
+    assert I.decompose("q", lambda p: "no list") == ["q"] and I.decompose("q", lambda p: '{"a": 1}') == ["q"]
