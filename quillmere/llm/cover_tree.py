@@ -5,7 +5,8 @@ cells around pivots, the upper level of the index.  A sample of every cell first
 query cell a bound on its worst kth score; the covering radii of cells then decide which data
 cells a group of queries can need.  Groups receive only those, nearest first, and compare
 trees: a pair of nodes is pruned if even the nearest points that the two covering radii
-allow score less than the worst kth score of the query node.
+allow score less than the worst kth score of the query node, and where the leaves below a
+pair would hardly be pruned, its points are compared as one matrix product.
 """
 
 from __future__ import annotations
@@ -32,8 +33,10 @@ DIGITS = 6
 SLACK = 2e-6
 #: Scores in single precision are off by less than this.
 ROUGH = 1e-5
-#: Scores of a leaf pair computed at once.
-BLOCK = 1 << 21
+#: Query and data rows of a block of scores, which stays in a core's cache.
+BLOCK = 512, 1024
+#: A pair of nodes is compared as a whole if it has at most so many pairs of points, or if radii leave at least this share of them.
+FEW, DENSE = 1 << 16, 0.125
 
 
 class CoverTree:
@@ -86,12 +89,30 @@ class CoverTree:
         self.sorted = points[self.order]
         self.rough = self.sorted.astype(np.float32)
         self.centres = np.array(self.centre).reshape(len(self.centre), -1)
+        # the leaves in order of their points
+        first = np.array(self.start, np.int64)
+        leaves = np.array([n for n, below in enumerate(self.children) if not below], np.int64)
+        leaves = leaves[np.argsort(first[leaves])]
+        self.first, self.middle, self.reach = first[leaves], self.centres[leaves], np.array(self.radius)[leaves]
+        self.size = np.array(self.stop, np.int64)[leaves] - self.first
+
+    def leaves(self, node: int) -> slice:
+        return slice(*np.searchsorted(self.first, [self.start[node], self.stop[node]]))
 
 
 def distance(cosine: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(2 - 2 * cosine, 0))
 
 
+def places(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """``np.nonzero`` of a matrix with few hits: eight places are looked at together."""
+    flat = mask.reshape(-1)
+    if len(flat) % 8:
+        return np.nonzero(mask)
+    some = np.flatnonzero(flat.view(np.uint64))
+    return np.divmod((some[:, None] * 8 + np.arange(8))[flat.reshape(-1, 8)[some]], mask.shape[1])
+
+
 class Search:
     """Running top k of a group's queries; ``floor`` has for each a score that its kth is known to reach."""
 
@@ -102,6 +123,7 @@ class Search:
         self.found = np.full((len(ids), k), np.iinfo(np.int64).max)
         self.floor = np.full(len(ids), -np.inf) if floor is None else floor[self.tree.order]
         self.bar = self.floor.copy()
+        self.room = np.empty(BLOCK[0] * BLOCK[1], np.float32)
         self.compared = 0
 
     def add(self, ids: np.ndarray, points: np.ndarray) -> None:
@@ -110,6 +132,7 @@ class Search:
         q = self.tree
         if not len(q.start) or not len(data.start):
             return
+        self.bound(data, ids)
         stack = [(0, 0)]
         while stack:
             a, b = stack.pop()
@@ -118,22 +141,57 @@ class Search:
             if most < self.bar[q.start[a] : q.stop[a]].min() - SLACK:
                 continue
             mine, other = q.children[a], data.children[b]
-            if not mine and not other:
-                wide = max(1, BLOCK // (data.stop[b] - data.start[b]))
-                for i in range(q.start[a], q.stop[a], wide):
-                    self.leaf(i, min(i + wide, q.stop[a]), data, ids, data.start[b], data.stop[b])
+            few = (q.stop[a] - q.start[a]) * (data.stop[b] - data.start[b]) <= FEW
+            if few or (not mine and not other) or self.share(a, data, b, self.bar) >= DENSE:
+                for j in range(data.start[b], data.stop[b], BLOCK[1]):
+                    for i in range(q.start[a], q.stop[a], BLOCK[0]):
+                        self.leaf(i, min(i + BLOCK[0], q.stop[a]), data, ids, j, min(j + BLOCK[1], data.stop[b]))
             elif mine and (not other or q.radius[a] >= data.radius[b]):
                 stack += [(c, b) for c in mine]
             else:
                 near = np.argsort(data.centres[other] @ q.centres[a])  # the nearest is popped first
                 stack += [(a, other[int(i)]) for i in near]
 
+    def share(self, a: int, data: CoverTree, b: int, bar: np.ndarray) -> float:
+        """The share of the pairs of points below nodes a and b whose leaves aren't pruned by ``bar``."""
+        q = self.tree
+        m, o = q.leaves(a), data.leaves(b)
+        gap = distance(q.middle[m] @ data.middle[o].T) - q.reach[m, None] - data.reach[o]
+        worst = np.minimum.reduceat(bar[q.start[a] : q.stop[a]], q.first[m] - q.start[a])
+        kept = np.where(gap > 0, 1 - gap * gap / 2, 1.0) >= worst[:, None] - SLACK
+        return float(q.size[m] @ (kept @ data.size[o])) / (int(q.size[m].sum()) * int(data.size[o].sum()))
+
+    def bound(self, data: CoverTree, ids: np.ndarray) -> None:
+        """Queries without a bound get one from the leaves nearest to theirs, unless no bound would prune enough."""
+        q, need = self.tree, self.k + self.skip
+        open_ = np.isneginf(np.minimum.reduceat(self.bar, q.first))
+        if not open_.any() or len(ids) < need or self.share(0, data, 0, np.ones(len(self.bar))) >= DENSE:
+            return
+        for n in np.flatnonzero(open_):
+            a, b = q.first[n], q.first[n] + q.size[n]
+            by = np.argsort(-(data.middle @ q.middle[n]), kind="stable")
+            by = by[: int(np.searchsorted(np.cumsum(data.size[by]), need)) + 1]
+            at = np.concatenate([np.arange(data.first[i], data.first[i] + data.size[i]) for i in by])
+            rough = self.tree.rough[a:b] @ data.rough[at].T
+            self.compared += rough.size
+            kth = np.partition(rough, -need, axis=1)[:, -need].astype(float)
+            self.floor[a:b] = np.maximum(self.floor[a:b], kth - (SLACK + ROUGH))
+        self.bar = np.maximum(self.bar, self.floor)
+
     def leaf(self, a: int, b: int, data: CoverTree, ids: np.ndarray, start: int, stop: int) -> None:
         """Compare queries a..b with data start..stop: roughly first, exactly where the rough score may count."""
-        rough = self.tree.rough[a:b] @ data.rough[start:stop].T
+        rough = np.matmul(self.tree.rough[a:b], data.rough[start:stop].T, out=self.room[: (b - a) * (stop - start)].reshape(b - a, -1))
         self.compared += rough.size
-        r, c = np.nonzero(rough >= (self.bar[a:b, None] - (SLACK + ROUGH)))
-        c = c + start
+        edge = self.bar[a:b] - (SLACK + ROUGH)
+        need = self.k + self.skip
+        blank = np.flatnonzero(np.isneginf(edge))
+        if len(blank) and need <= stop - start:  # the kth of the block itself is a bound
+            edge[blank] = np.partition(rough[blank], -need, axis=1)[:, -need] - (SLACK + 2 * ROUGH)
+        hit = np.flatnonzero(rough.max(axis=1) >= edge)
+        if not len(hit):
+            return
+        r, c = places(rough[hit] >= edge[hit, None].astype(np.float32))
+        r, c = hit[r], c + start
         if self.skip:
             other = self.ids[a + r] != ids[c]
             r, c = r[other], c[other]
@@ -143,10 +201,10 @@ class Search:
         for i in range(0, len(r), 65_536):
             v[i : i + 65_536] = np.einsum("ij,ij->i", self.tree.sorted[a + r[i : i + 65_536]], data.sorted[c[i : i + 65_536]])
         v = np.round(v, DIGITS) + 0.0
-        rows = np.unique(r)
-        row = np.r_[np.repeat(rows, self.k), r]
-        val = np.r_[self.score[a + rows].ravel(), v]
-        who = np.r_[self.found[a + rows].ravel(), ids[c]]
+        rows = r[np.flatnonzero(np.diff(r, prepend=-1))]
+        row = np.concatenate([np.repeat(rows, self.k), r])
+        val = np.concatenate([self.score[a + rows].ravel(), v])
+        who = np.concatenate([self.found[a + rows].ravel(), ids[c]])
         by = np.lexsort((who, -val, row))
         row, val, who = row[by], val[by], who[by]
         take = np.searchsorted(row, rows)[:, None] + np.arange(self.k)
@@ -170,13 +228,15 @@ def clean(df: DataFrame) -> DataFrame:
 
 
 def _assign(pivots: np.ndarray):
+    rough = pivots.astype(np.float32)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a in range(0, batch.num_rows, 4096):
                 part = batch.slice(a, 4096)
-                cos = unit(part.column(1)) @ pivots.T
-                cell = np.argmax(cos, axis=1)
-                far = distance(cos[np.arange(len(cell)), cell])
+                points = unit(part.column(1))
+                cell = np.argmax(points.astype(np.float32) @ rough.T, axis=1)  # any cell would do, if the radius is exact
+                far = distance(np.einsum("ij,ij->i", points, pivots[cell]))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(cell.astype(np.int32)), pa.array(far)], ["id", "vec", "cell", "far"])
 
     return run
@@ -314,8 +374,10 @@ def top_k(df: DataFrame, k: int, id_col: str = "vec_id", vec_col: str = "embeddi
     step = _numbers(spark, s_cell=cells, step=np.maximum(1, -(-count // SEED_ROWS)).astype(np.int64))
     sample = kept[0].join(F.broadcast(step), F.col("cell") == F.col("s_cell")).filter(F.pmod(F.xxhash64("id", F.lit("seed")), F.col("step")) == 0)
     own = to_group.select(F.col("q_cell").alias("o_cell"), F.col("grp")).distinct()
-    seeds = sample.join(F.broadcast(own), F.col("cell") == F.col("o_cell")).select(F.col("grp").alias("task"), F.lit(0.0).alias("low"), "cell", "id", "vec")
-    first = _compared(grouped.withColumnRenamed("grp", "task").withColumn("floor", F.lit(float("-inf"))), seeds, groups, k, skip_self)
+    pair = (F.col("grp").cast("long") * MOST_CELLS + F.col("cell")).alias("task")  # queries meet the sample of their own cell alone
+    seeds = sample.join(F.broadcast(own), F.col("cell") == F.col("o_cell")).select(pair, F.lit(0.0).alias("low"), "cell", "id", "vec")
+    seeded = max(groups, min(2 * cores, len(parts)))
+    first = _compared(grouped.select(pair, "cell", "id", "vec", F.lit(float("-inf")).alias("floor")), seeds, seeded, k, skip_self)
     bounds = written(first.filter(F.col("rank") == k).select("id", F.col("score").alias("floor")), "bounds")
     known = grouped.join(bounds, "id", "left").withColumn("floor", F.coalesce("floor", F.lit(float("-inf"))))
     worst = {(r["grp"], r["cell"]): r["floor"] for r in known.groupBy("grp", "cell").agg(F.min("floor").alias("floor")).collect()}

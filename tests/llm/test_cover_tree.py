@@ -127,6 +127,46 @@ def test_bounds_known_before_save_comparisons():
     assert seeded.compared <= plain.compared and np.array_equal(seeded.found, plain.found)
 
 
+def test_what_radii_cannot_prune_is_compared_in_large_blocks(monkeypatch):
+    """Vectors spread over a sphere of many dimensions: whole blocks, not thousands of pairs of small leaves."""
+    v = np.random.default_rng(12).normal(size=(6000, 64))
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    calls, leaf = [], C.Search.leaf
+    monkeypatch.setattr(C.Search, "leaf", lambda self, *args: (calls.append(1), leaf(self, *args)))
+    s = C.Search(np.arange(1500), v[:1500], 5, True)
+    s.add(np.arange(6000), v)
+    assert len(calls) <= 30 and s.compared == 1500 * 6000
+    score = np.round(v[:1500] @ v.T, C.DIGITS)
+    score[np.arange(1500), np.arange(1500)] = -9
+    assert s.found[np.argsort(s.ids)].tolist() == [np.lexsort((np.arange(6000), -row))[:5].tolist() for row in score]
+
+
+def test_first_bounds_are_found_by_cell_in_several_tasks(spark, monkeypatch):
+    """Queries meet the sample of their own cell, not every sample of their group in one task."""
+    monkeypatch.setattr(C, "CELL_ROWS", 64)
+    seen, compared = [], C._compared
+
+    def spy(ask, data, tasks, *args):
+        pairs = ask.groupBy("task").count().join(data.groupBy("task").agg({"id": "count"}), "task").collect()
+        seen.append((tasks, sum(r[1] * r[2] for r in pairs)))
+        return compared(ask, data, tasks, *args)
+
+    monkeypatch.setattr(C, "_compared", spy)
+    rows = list(enumerate(np.random.default_rng(13).normal(size=(900, 8))))
+    asked = [r for r in rows if r[0] % 5 == 0]
+    got = sorted(tuple(r) for r in C.top_k(frame(spark, rows), 6, queries=frame(spark, asked), skip_self=True).collect())
+    close(got, [r for r in brute(rows, 6) if r[0] % 5 == 0])
+    (tasks, pairs), _ = seen
+    assert tasks > 1 and pairs < 900 * 180 / 4
+
+
+def test_places():
+    rng = np.random.default_rng(14)
+    for shape in ((7, 16), (5, 3), (1, 8), (3, 8), (0, 8)):
+        m = rng.random(shape) < 0.3
+        assert all(np.array_equal(a, b) for a, b in zip(C.places(m), np.nonzero(m)))
+
+
 def test_covers_are_halved():
     """Children are apart and cover; a node at its target has descendants that cover it at half its radius."""
     v = np.random.default_rng(11).normal(size=(6000, 3))
