@@ -1,4 +1,5 @@
 import pytest
+from pyspark.sql import functions as F
 
 from quillmere.operators import clusters, entities as N, graph as G
 
@@ -120,3 +121,19 @@ def test_scores_use_the_whole_corpus(spark):
 
     assert got["1", "ann"] == pytest.approx(0.4 * math.log1p(2) + 0.3 + 0.3 * math.log(4 / 2))
     assert N.remove_chunks(spark.createDataFrame([("1",)], "chunk_id string"), chunks).count() == 0
+
+
+def test_bridge_edges_of_a_kind_in_blocks_are_spread_and_equal_brute_force(spark, monkeypatch):
+    monkeypatch.setattr(clusters, "PAIR_BLOCK", 8, raising=False)
+    monkeypatch.setattr(clusters, "PAIRS", 64, raising=False)
+    docs = [(f"c{i}", "x" if i % 3 else "y") for i in range(60)] + [("lone", "z"), ("c1", "y"), ("no", None)]
+    links = [(f"c{i}", e) for i in range(60) for e in ("a", "b", "c")[: 1 + i % 2]] + [("lone", "c"), ("no", "a")]
+    got = clusters.bridge_edges(spark.createDataFrame(links, "chunk_id string, entity_id string"), spark.createDataFrame(docs, "chunk_id string, document_name string"))
+    rows = got.withColumn("task", F.spark_partition_id()).collect()
+    of = {}
+    for c, e in links:
+        of.setdefault(c, set()).add(e)
+    want = [(a, b) for a, d in docs for b, k in docs if a < b and d and k and d != k and of[a] & of[b]]
+    assert sorted((r["a"], r["b"]) for r in rows) == sorted(want)
+    # tasks are as many as the pairs ask for, not as the ids that are shuffled
+    assert len({r["task"] for r in rows}) > 4
