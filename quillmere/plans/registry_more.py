@@ -395,7 +395,9 @@ r(id, to_id) AS (SELECT id, id FROM n UNION SELECT r.id, w.b FROM r JOIN w ON r.
 def dbscan_clusters(spark, t):
     """Brands that share sizes, by the number of pairs of parts."""
     p = t("part").select("p_size", "p_brand")
-    met = p.toDF("k", "a").join(p.toDF("k", "b"), "k").filter("a < b").groupBy("a", "b").agg(F.count(F.lit(1)).alias("score")).filter("score >= 2")
+    # parts of a size and brand are counted before they meet, so that no pair of parts is formed
+    n = p.groupBy("p_size", "p_brand").agg(F.count(F.lit(1)).alias("n"))
+    met = n.toDF("k", "a", "na").join(n.toDF("k", "b", "nb"), "k").filter("a < b").groupBy("a", "b").agg(F.sum(F.col("na") * F.col("nb")).alias("score")).filter("score >= 2")
     return clusters.cluster_entities(p.select(F.col("p_brand").alias("entity_id")).distinct(), met, "dbscan", 0.2)
 
 

@@ -137,3 +137,20 @@ def test_bridge_edges_of_a_kind_in_blocks_are_spread_and_equal_brute_force(spark
     assert sorted((r["a"], r["b"]) for r in rows) == sorted(want)
     # tasks are as many as the pairs ask for, not as the ids that are shuffled
     assert len({r["task"] for r in rows}) > 4
+
+
+def test_brands_are_counted_before_they_meet(spark, monkeypatch):
+    from collections import Counter
+
+    from quillmere.plans import registry, registry_more
+
+    rows = [(k, b) for k, b, n in ((1, "x", 50), (1, "y", 40), (2, "x", 3), (2, "y", 2), (2, "z", 1), (None, "z", 5), (3, None, 2), (3, "z", 1)) for _ in range(n)]
+    seen = []
+    monkeypatch.setattr(registry_more.clusters, "cluster_entities", lambda e, met, *how: seen.append(met) or e)
+    part = spark.createDataFrame(rows, "p_size int, p_brand string")
+    monkeypatch.setattr(registry.loaders, "read_table", lambda *a: part)
+    registry.QUERIES["dbscan_clusters"](spark, "")
+    want = Counter((a, b) for k, a in rows for m, b in rows if k is not None and k == m and a and b and a < b)
+    assert {(r["a"], r["b"]): r["score"] for r in seen[0].collect()} == {x: n for x, n in want.items() if n >= 2}
+    joined = seen[0]._jdf.queryExecution().optimizedPlan().toString().partition("Join")[2]
+    assert joined.count("Aggregate") == 2
