@@ -154,3 +154,52 @@ def test_brands_are_counted_before_they_meet(spark, monkeypatch):
     assert {(r["a"], r["b"]): r["score"] for r in seen[0].collect()} == {x: n for x, n in want.items() if n >= 2}
     joined = seen[0]._jdf.queryExecution().optimizedPlan().toString().partition("Join")[2]
     assert joined.count("Aggregate") == 2
+
+
+@pytest.mark.parametrize("kind", ["bigint", "string"])
+def test_communities_are_fed_by_batches_and_equal_the_plain_method(spark, monkeypatch, kind):
+    import random
+
+    r = random.Random(3)
+    name = (lambda i: 2**60 + i) if kind == "bigint" else (lambda i: f"c{i:03d}")
+    pairs = {tuple(sorted(r.sample(range(lo, hi), 2))): r.random() for lo, hi, n in ((0, 120, 900), (120, 160, 60)) for _ in range(n)}
+    pairs = {p: round(w, 3) for p, w in pairs.items()}
+    nodes = spark.createDataFrame([(name(i),) for i in range(170)], f"chunk_id {kind}")
+    edges = spark.createDataFrame([(name(a), name(b), w) for (a, b), w in pairs.items()], f"a {kind}, b {kind}, weight double")
+    limit = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "37")
+    try:
+        part = clusters.partition(nodes, edges)
+        assert "FlatMapGroups" not in part._jdf.queryExecution().optimizedPlan().toString()
+        got = {x["chunk_id"]: x["community_id"] for x in part.collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", limit)
+    label = clusters.modularity(170, [])
+    comp = {x["id"]: x["component"] for x in clusters.connected_components(nodes.withColumnRenamed("chunk_id", "id"), edges).collect()}
+    for one in set(comp.values()):
+        mine = [i for i in range(170) if comp[name(i)] == one]
+        at = {x: k for k, x in enumerate(mine)}
+        found = clusters.modularity(len(mine), sorted((at[a], at[b], w) for (a, b), w in pairs.items() if a in at))
+        for k, i in enumerate(mine):
+            label[i] = mine[list(found).index(found[k])]
+    assert got == {name(i): name(label[i]) for i in range(170)}
+
+
+@pytest.mark.parametrize("held", [1 << 23, 100])
+def test_modularity_of_links_in_a_file_equals_that_in_memory(monkeypatch, held):
+    import random
+
+    import numpy as np
+
+    monkeypatch.setattr(clusters, "HELD", held)
+    monkeypatch.setattr(clusters, "READ", held)
+    r = random.Random(1)
+    pairs = {tuple(sorted(r.sample(range(200), 2))): r.random() for _ in range(900)}
+    edges = sorted((a, b, w) for (a, b), w in pairs.items())
+    both = sorted(edges + [(b, a, w) for a, b, w in edges])
+    links = clusters.Links()
+    for k in range(0, len(both), 70):
+        links.add(np.array([b for _, b, _ in both[k : k + 70]]), np.array([w for *_, w in both[k : k + 70]]))
+    start = np.concatenate([[0], np.cumsum(np.bincount([a for a, *_ in both], minlength=200))])
+    assert (links.file is not None) == (held == 100)
+    assert (clusters.modularity_of(start, links.done()) == clusters.modularity(200, edges)).all()
