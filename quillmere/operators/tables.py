@@ -5,8 +5,12 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+from collections.abc import Callable, Iterable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType, _parse_datatype_string
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -31,6 +35,38 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Rows, and about the bytes, of a batch that are Python objects at one time.
+PART_ROWS, PART_BYTES = 256, 1 << 22
+
+
+def parts(t: pa.RecordBatch | pa.Array) -> Iterator[pa.RecordBatch | pa.Array]:
+    """A batch or array in slices that are small as Python objects, whatever its own size is."""
+    n = len(t)
+    step = max(1, min(PART_ROWS, n * PART_BYTES // max(1, t.nbytes)))
+    for i in range(0, n, step):
+        yield t.slice(i, step)
+
+
+def map_rows(df: DataFrame, make: Callable[[], Callable[..., Iterable[tuple]]], schema: StructType | str) -> DataFrame:
+    """Rows that a function gives for each row of ``df``; ``make`` gives the function, once a task.
+
+    Batches of Arrow are taken in slices and given back by slice, so that a worker's memory doesn't grow with the rows of a batch.
+    """
+    out = to_arrow_schema(schema if isinstance(schema, StructType) else _parse_datatype_string(schema), timestamp_utc=True)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        f = make()
+        for b in batches:
+            same = {x.name: x.type for x in b.schema}  # columns that pass through keep their types
+            kinds = [same.get(x.name, x.type) for x in out]
+            for t in parts(b):
+                rows = [r for x in zip(*(c.to_pylist() for c in t.columns)) for r in f(*x)]
+                if rows:
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows), kinds)], names=out.names)
+
+    return df.mapInArrow(run, schema)
+
+
 def connected_components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component) for ``nodes`` (id) and ``edges`` (a, b): the least id that each node can reach.
 
