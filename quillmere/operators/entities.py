@@ -11,6 +11,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 from pyspark.sql.types import StringType
 
+from .tables import map_rows
+
 MATCHES = "chunk_id string, entity_id string, name string, display_name string, entity_type string, frequency int, positions array<int>, spans array<struct<start:int,stop:int>>, chunk_length int"
 
 
@@ -117,42 +119,36 @@ class Matcher:
 def match_entities(chunks: DataFrame, matcher: Matcher, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """One row for each chunk and entity found in it.  Null texts have none."""
     slim = chunks.select(F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
-    cols = [c.split()[0] for c in re.sub("<.*?>+", "", MATCHES).split(", ")]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def make() -> Callable[..., Iterator[tuple]]:
         a = matcher.automaton()
-        for b in batches:
-            rows = []
-            for cid, text in zip(b["chunk_id"], b["text"]):
-                for e, spans in (matcher.find(text, a) if text else {}).items():
-                    x = matcher.entities[e]
-                    rows.append((cid, e, x.name, x.display_name, x.type, len(spans), [s for s, _ in spans], [{"start": s, "stop": t} for s, t in spans], max(len(text), 1)))
-            yield pd.DataFrame(rows, columns=cols)
 
-    return slim.mapInPandas(run, MATCHES)
+        def found(cid: str, text: str | None) -> Iterator[tuple]:
+            for e, spans in (matcher.find(text, a) if text else {}).items():
+                x = matcher.entities[e]
+                yield cid, e, x.name, x.display_name, x.type, len(spans), [s for s, _ in spans], [{"start": s, "stop": t} for s, t in spans], max(len(text), 1)
+
+        return found
+
+    return map_rows(slim, make, MATCHES)
 
 
 def model_entities(chunks: DataFrame, ner: Callable[[str], list[tuple[str, str, int, int]]], labels: Sequence[str] | None = None, id_col: str = "chunk_id", text_col: str = "content") -> DataFrame:
     """Matches of an injected recogniser that gives (surface, label, start, stop); numbers alone are dropped."""
     slim = chunks.select(F.col(id_col).cast("string").alias("chunk_id"), F.col(text_col).alias("text"))
-    cols = [c.split()[0] for c in re.sub("<.*?>+", "", MATCHES).split(", ")]
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            rows = []
-            for cid, text in zip(b["chunk_id"], b["text"]):
-                found: dict[str, tuple] = {}
-                for surface, label, s, t in ner(text) if text else ():
-                    key = canonical_key(surface)
-                    if not key or re.fullmatch(r"[\d\s.,%-]+", key) or (labels is not None and label not in labels):
-                        continue
-                    found.setdefault(entity_id(key), (key, surface, label.lower(), []))[3].append((s, t))
-                for e, (name, shown, label, spans) in found.items():
-                    spans.sort()
-                    rows.append((cid, e, name, shown, label, len(spans), [s for s, _ in spans], [{"start": s, "stop": t} for s, t in spans], max(len(text), 1)))
-            yield pd.DataFrame(rows, columns=cols)
-
-    return slim.mapInPandas(run, MATCHES)
+
+    def found(cid: str, text: str | None) -> Iterator[tuple]:
+        by: dict[str, tuple] = {}
+        for surface, label, s, t in ner(text) if text else ():
+            key = canonical_key(surface)
+            if not key or re.fullmatch(r"[\d\s.,%-]+", key) or (labels is not None and label not in labels):
+                continue
+            by.setdefault(entity_id(key), (key, surface, label.lower(), []))[3].append((s, t))
+        for e, (name, shown, label, spans) in by.items():
+            spans.sort()
+            yield cid, e, name, shown, label, len(spans), [s for s, _ in spans], [{"start": s, "stop": t} for s, t in spans], max(len(text), 1)
+
+    return map_rows(slim, lambda: found, MATCHES)
 
 
 EDGE_CHARS = r"""()\[\]{}<>*&^%$#@!+=~`'"\\|/?:;,.—–\-\s"""

@@ -117,3 +117,32 @@ def test_format_and_common_path(spark):
     df = spark.createDataFrame([(["a", "b"],)], "p array<string>")
     r = df.select(X.format_breadcrumb(F.col("p"), "symbol").alias("s"), X.lca_path(F.array(F.col("p"), F.array(F.lit("a"), F.lit("c")))).alias("l")).first()
     assert "→" in r["s"] and r["l"] == ["a"]
+
+
+def test_large_batches_are_objects_in_small_slices_only(spark, monkeypatch):
+    """A worker's memory doesn't grow with the rows of a batch: results come by slice, and the next slice isn't made before."""
+    import pyarrow as pa
+
+    from quillmere.operators import entities, tables
+    from quillmere.sources import extract
+
+    df, seen = spark.createDataFrame([("n", "<p>ann</p>")], "name string, text string"), []
+    monkeypatch.setattr(type(df), "mapInArrow", lambda self, f, schema: seen.append(f) or self)
+    C.chunk_documents(df, "name", "text")
+    entities.match_entities(df, entities.Matcher.vocabulary([entities.Entity("ann", "ann", "Ann")]), "name", "text")
+    entities.model_entities(df, lambda t: [("ann", "x", 0, 3)], None, "name", "text")
+    assert len(seen) == 3
+    for f in seen:
+        for text, least in (("ann is here", 256), ("ann " + "x " * 500_000, 4)):
+            n, given = 600 if least == 256 else 12, []
+            batch = pa.RecordBatch.from_arrays([pa.array(str(i) for i in range(n)), pa.array([text] * n)], names=["a", "__text"])
+            got = f(given.append(1) or batch for _ in range(2))
+            one = next(got)
+            assert len(given) == 1 and len(set(one.column(0).to_pylist())) <= least
+            rest = list(got)
+            assert {x for b in (one, *rest) for x in b.column(0).to_pylist()} == set(map(str, range(n)))
+    monkeypatch.undo()
+    big = pa.array(["x" * 1_000_000] * 9 + [None])
+    assert [len(t) for t in tables.parts(big)] == [4, 4, 2] and not list(tables.parts(pa.array([], pa.string())))
+    pages = spark.createDataFrame([(i, None if i % 7 == 0 else f"<p>{i}</p>") for i in range(700)], "id int, html string").coalesce(1)
+    assert {r["id"]: r["markdown"] for r in extract.html_documents(pages, "id", "html").collect()} == {i: None if i % 7 == 0 else extract.html_to_markdown(f"<p>{i}</p>") for i in range(700)}
